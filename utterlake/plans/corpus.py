@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from utterlake.catalog import Catalog
-from utterlake.operators import nested, orphans, packed
+from utterlake.operators import compact, nested, orphans, packed
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -25,9 +25,17 @@ def p4_counts(spark: SparkSession, root: str) -> DataFrame:
     return orphans.orphan_counts(p4_report(spark, root))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return compact.consolidated(Catalog(spark, root).tiny_files).select("layer", "utt_id", "path")
+
+
+def p5_bins(spark: SparkSession, root: str) -> DataFrame:
+    return compact.bin_report(Catalog(spark, root).tiny_files, target_bytes=1 << 20)
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     t = Catalog(spark, root)
     return packed.unpack_values(t.bareun_raw, t.search_master)
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_bins": p5_bins, "p6_found": p6_found}
