@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from unicodedata import is_normalized, normalize
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,10 +36,15 @@ def strip_ws(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(_WS_CHARS + "\ufeff\u200b"))
 
 
+def compose(x: pa.Array) -> pa.Array:
+    """Unicode composition (NFC) of an Arrow array. Python's tables do it: `pyarrow.compute.utf8_normalize` leaves Hangul decomposed."""
+    return pa.array([None if t is None else t if is_normalized("NFC", t) else normalize("NFC", t) for t in x.to_pylist()], pa.string())
+
+
 @F.arrow_udf(T.StringType())
 def nfc(x: pa.Array) -> pa.Array:
-    """Unicode composition (NFC) over whole Arrow buffers; the JVM functions of Spark have none."""
-    return pc.utf8_normalize(x, form="NFC")
+    """Unicode composition (NFC), Arrow batch by batch; the JVM functions of Spark have none."""
+    return compose(x)
 
 
 def rpartition_slash(c: Column | str) -> tuple[Column, Column]:
