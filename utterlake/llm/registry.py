@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from utterlake.catalog import Catalog
-from utterlake.llm import leakage, mixture, terms, turns
+from utterlake.llm import leakage, mixture, quality, terms, turns
 from utterlake.session import new_path
 
 
@@ -61,9 +60,18 @@ def p8_mixture(spark: SparkSession, root: str) -> DataFrame:
     return _mixture(spark, root).selection()
 
 
+def p9_quality(spark: SparkSession, root: str) -> DataFrame:
+    t = Catalog(spark, root)
+    return quality.quality(t.documents, t.common_words)
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return p9_quality(spark, root).where("not is_prose").select("doc_id").distinct()
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_turns": p3_turns, "p7_found": p7_found, "p7_near": p7_near, "p7_items": p7_items,
-    "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture,
+    "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_quality": p9_quality,
 }
 
 
