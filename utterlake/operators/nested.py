@@ -90,6 +90,7 @@ def typed_sentences(docs: DataFrame, key: str = "file_id") -> DataFrame:
         F.coalesce(text_at(s, "$.id"), F.lit("")).alias("sentence_id"),
         text_at(s, "$.form").alias("form"),
         text_at(s, "$.speaker_id").alias("speaker_id"),
+        F.transform(as_array(s, "$.word"), lambda w: F.struct(text_at(w, "$.id").alias("id"), text_at(w, "$.form").alias("form"))).alias("word"),
         F.transform(as_array(s, "$.MP"), lambda m: entry(m, "form", "label")).alias("mp"),
         F.transform(as_array(s, "$.WSD"), lambda m: entry(m, "form", "pos", "sense_id")).alias("wsd"),
         F.transform(as_array(s, "$.SRL"), frame).alias("srl"),

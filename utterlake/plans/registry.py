@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from utterlake.plans import corpus
+from utterlake.plans import corpus, corpus_sql, frequency, frequency_sql
 
-MODULES = [corpus]
+MODULES = [corpus, frequency]
+SQL_MODULES = [corpus_sql, frequency_sql]
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {name: sql for m in MODULES for name, sql in getattr(m, "SQL", {}).items()}
+    return {name: sql for m in SQL_MODULES for name, sql in m.SQL.items()}
