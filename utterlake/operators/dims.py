@@ -10,7 +10,7 @@ from utterlake.functions.text import col
 UNKNOWN = "미상"
 #: Levels of education in ascending order, and a spelling of the source that is mended.
 EDUCATION = ["초졸 이하", "중졸", "고졸", "대재", "대졸", "대학원 이상"]
-OCCUPATION_TYPO = {"전문직(의료/법률/교육 종사자": "전문직(의료/법률/교육 종사자)"}
+OCCUPATION_TYPO = {"기술자 종자사(장치/기계 조작 및 조립 종사자)": "기술자 종사자(장치/기계 조작 및 조립 종사자)"}
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

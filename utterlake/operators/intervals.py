@@ -31,8 +31,8 @@ def tile(df: DataFrame, keys: list[str], order: list[str], begin: str = "xmin",
     b = F.greatest(end, a)
     out = [F.struct(F.col("_cur").alias("xmin"), a.alias("xmax"), F.lit("").alias("text")), F.struct(a.alias("xmin"), b.alias("xmax"), F.col(text).alias("text"))]
     if total:
-        is_last = F.lead(end).over(Window.partitionBy(*keys).orderBy(*order)).isNull()
-        out.append(F.struct(b.alias("xmin"), F.when(is_last, F.col(total)).otherwise(b).alias("xmax"), F.lit("").alias("text")))
+        j = j.withColumn("_last", F.lead(end).over(Window.partitionBy(*keys).orderBy(*order)).isNull())
+        out.append(F.struct(b.alias("xmin"), F.when(F.col("_last"), F.col(total)).otherwise(b).alias("xmax"), F.lit("").alias("text")))
     return j.select(*keys, F.inline(F.array(*out))).where(F.col("xmax") - F.col("xmin") > TINY)
 
 
@@ -40,8 +40,8 @@ def normalize_tier(df: DataFrame, keys: list[str], order: list[str], duration: s
     """Ends clamped to the duration, intervals of no length dropped, the tail (only) padded with ''."""
     clamped = df.withColumn("xmax", F.least("xmax", duration)).where(F.col("xmax") - F.col("xmin") > TINY)
     last = F.lead("xmax").over(Window.partitionBy(*keys).orderBy(*order)).isNull()
-    pad = F.when(last, F.col(duration)).otherwise(F.col("xmax"))
-    rows = F.array(F.struct("xmin", "xmax", "text"), F.struct(F.col("xmax").alias("xmin"), pad.alias("xmax"), F.lit("").alias("text")))
+    clamped = clamped.withColumn("_pad", F.when(last, F.col(duration)).otherwise(F.col("xmax")))
+    rows = F.array(F.struct("xmin", "xmax", "text"), F.struct(F.col("xmax").alias("xmin"), F.col("_pad").alias("xmax"), F.lit("").alias("text")))
     return clamped.select(*keys, F.inline(rows)).where(F.col("xmax") - F.col("xmin") > TINY)
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from utterlake.plans import corpus, corpus_sql, frequency, frequency_sql
+from utterlake.plans import corpus, corpus_sql, frequency, frequency_sql, layers, layers_sql
 
-MODULES = [corpus, frequency]
-SQL_MODULES = [corpus_sql, frequency_sql]
+MODULES = [corpus, frequency, layers]
+SQL_MODULES = [corpus_sql, frequency_sql, layers_sql]
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    return corpus.p6_found(spark, root)
+    return layers.flagship(spark, root)
 
 
 def queries() -> dict:
