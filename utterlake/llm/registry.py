@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from utterlake.catalog import Catalog
 from utterlake.llm import leakage, mixture, quality, terms, turns
+from utterlake.llm.sql import SQL
 from utterlake.session import new_path
 
 
@@ -80,4 +81,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
