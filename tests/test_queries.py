@@ -1,0 +1,28 @@
+"""Every query of the core against its SQL on the smallest tables."""
+
+from pathlib import Path
+
+import pytest
+
+from utterlake.plans import registry
+
+ROOT = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(ROOT).exists(), reason="test tables aren't here")
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_same_rows_as_sql(name, compare):
+    compare(registry.queries()[name], registry.oracle_sql()[name], ROOT)
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
+def test_runs(name, spark):
+    assert registry.queries()[name](spark, ROOT).count() > 0
+
+
+def test_entry_and_names():
+    import __spark_entry__ as e
+
+    assert set(e.oracle_sql()) <= set(e.queries())
+    for n in (1, 4, 5, 6):
+        assert f"p{n}_found" in e.queries()

@@ -49,7 +49,7 @@ def split_tokens(value: Column, delimiter: str | None) -> Column:
     """Tokens at white space, or at a literal delimiter and trimmed."""
     if delimiter is None:
         return F.filter(F.split(F.coalesce(value, F.lit("")), r"\s+"), lambda x: x != "")
-    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), r"\Q" + delimiter + r"\E"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), r"\Q" + delimiter + r"\E"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def mirror_tokens(words: DataFrame, values: DataFrame, key: str, value: str, delimiter: str | None, mark: str = "[align≠]") -> DataFrame:
