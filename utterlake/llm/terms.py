@@ -66,12 +66,16 @@ class TermCounts:
         hadoop = self.spark._jvm.org.apache.hadoop
         return hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop.fs.Path
 
-    def _manifest(self) -> dict[str, str]:
+    def _versions(self) -> list[str]:
         fs, path = self._fs()
         if not fs.exists(path(self.path)):
-            return {}
-        names = sorted(s.getPath().getName() for s in fs.listStatus(path(self.path)) if s.getPath().getName().startswith("manifest-"))
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/{names[-1]}").collect())) if names else {}
+            return []
+        return sorted(n[len("manifest-") :] for n in (s.getPath().getName() for s in fs.listStatus(path(self.path))) if n.startswith("manifest-"))
+
+    def _manifest(self) -> dict[str, str]:
+        """Bucket to the folder of its newest version."""
+        versions = self._versions()
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/manifest-{versions[-1]}").collect())) if versions else {}
 
     def read(self) -> DataFrame:
         folders = sorted(set(self._manifest().values()))
@@ -82,8 +86,8 @@ class TermCounts:
     def apply(self, deltas: DataFrame) -> None:
         """Merge signed deltas; terms whose counts fall to zero leave."""
         bucket = F.pmod(F.xxhash64("field", "term"), F.lit(self.buckets)).cast("int")
-        old = self._manifest()
-        version, folder = f"{int(max((v.rsplit('/v', 1)[1].split('-')[0] for v in old.values()), default='0')) + 1:09d}", uuid.uuid4().hex
+        old, folder = self._manifest(), uuid.uuid4().hex
+        version = f"{int((self._versions() or ['0'])[-1]) + 1:09d}"
         deltas = deltas.withColumn("bucket", bucket)
         if old:
             touched = {r.bucket for r in deltas.select("bucket").distinct().collect()}  # at most `buckets` numbers
@@ -103,13 +107,16 @@ class TermCounts:
             if name.startswith("bucket="):
                 to = f"{self.path}/{name}/v{version}-{folder}"
                 fs.mkdirs(path(to).getParent())
-                fs.rename(s.getPath(), path(to))
+                if not fs.rename(s.getPath(), path(to)):
+                    raise RuntimeError(f"{to} can't be committed")
                 new[name.split("=")[1]] = to
         part = path(f"{self.path}/.manifest-{folder}")
         out = fs.create(part)
         out.write(bytearray(json.dumps(new).encode()))
         out.close()
-        fs.rename(part, path(f"{self.path}/manifest-{version}"))
+        to = path(f"{self.path}/manifest-{version}")
+        if fs.exists(to) or not fs.rename(part, to):
+            raise RuntimeError(f"{to} can't be committed: another writer was first")
 
 
 def marked(counts: DataFrame, rare_records: int = 1, common_share: float = 0.02) -> DataFrame:
