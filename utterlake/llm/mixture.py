@@ -19,8 +19,8 @@ TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: how the byte-level vocabularies split a text before their merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_TOKENS = 2048
-#: Tokens of a source per shard, and the most shards of a source: blocks are laid out shard by shard, never over a whole source.
-SHARD_TOKENS, MAX_SHARDS = 64_000_000, 4096
+#: Tokens of a source per shard, and the most shards of all sources: blocks are laid out shard by shard, never over a whole source.
+SHARD_TOKENS, MAX_SHARDS = 64_000_000, 65_536
 MAX_SOURCES = 10_000
 
 
@@ -99,7 +99,7 @@ class Mixture:
         seats = round(self.total / self.block)
         for p, q in zip(self.plan, sainte_lague([p["share"] for p in self.plan], seats, [p["cap"] for p in self.plan]), strict=True):
             p["quota"] = q
-            p["shards"] = min(MAX_SHARDS, max(1, -(-p["supply"] // shard_tokens)))
+            p["shards"] = min(max(1, MAX_SHARDS // len(self.plan)), max(1, -(-p["supply"] // shard_tokens)))
 
     def unreachable(self) -> DataFrame:
         """(source): targets that cannot reach their share even at max_repeats."""
@@ -110,7 +110,7 @@ class Mixture:
         head = self.spark.createDataFrame([(p["source"], p["shards"]) for p in self.plan], "source string, shards int")
         order = F.xxhash64(F.lit(self.seed), F.col("doc_id").cast("string"))
         docs = self.docs.join(F.broadcast(head), "source").withColumn("order", order).withColumn("shard", F.pmod(F.col("order"), F.col("shards")).cast("int"))
-        supply = {(r.source, r.shard): r.tokens for r in docs.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).collect()}  # at most sources x MAX_SHARDS rows
+        supply = {(r.source, r.shard): r.tokens for r in docs.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).collect()}  # at most MAX_SHARDS rows, or one per source
         quotas = []
         for p in self.plan:
             own = sorted((s, t) for (src, s), t in supply.items() if src == p["source"])
