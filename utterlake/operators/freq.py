@@ -31,7 +31,7 @@ def stratified(df: DataFrame, keys: list[str], dims: dict[str, Column]) -> DataF
     long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), c.alias("stratum")) for d, c in dims.items()])).alias("s")).select(*keys, "s.*")
     counts = long.groupBy(*keys, "dim", "stratum").agg(F.count("*").alias("freq"))
     totals = counts.groupBy("dim", "stratum").agg(F.sum("freq").alias("tokens"))
-    return counts.join(F.broadcast(totals), ["dim", "stratum"]).select(*keys, "dim", "stratum", "freq", (F.col("freq") / F.col("tokens") * 1e6).alias("per_million"))
+    return counts.join(totals, ["dim", "stratum"]).select(*keys, "dim", "stratum", "freq", (F.col("freq") / F.col("tokens") * 1e6).alias("per_million"))
 
 
 def strata_totals(df: DataFrame, dims: dict[str, Column]) -> DataFrame:
