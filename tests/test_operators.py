@@ -189,3 +189,31 @@ def test_event_windows(spark, tmp_path):
     q = refresh.windowed_counts(s, "ts", ["k"], "1 hour", "10 minutes").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.sql("select * from windows").collect()) == [3, 3]
+
+
+def test_pronunciation_index(spark):
+    lex = spark.createDataFrame([("먹다", "VV", "001", "먹따"), ("먹다", "VV", "002", "x"), ("값", "NNG", "001", "갑"), ("먹", "VV", "009", "y"), ("빈", "NNG", "1", "")], "word string, pos_tag string, sense_no string, pron_1 string")
+    assert {(r.word, r.pos): r.pron for r in sense.pronunciation_index(lex).collect()} == {("먹다", "VV"): "먹따", ("먹", "VV"): "y", ("값", "NNG"): "갑"}
+
+
+def test_norm_table(spark):
+    n = spark.createDataFrame([("가", "N", "3.0", "0.5", "all"), ("가", "N", "1", "0", "child"), ("나", "N", "many", "x", "all")], "WORD string, POS_TAG string, COUNT string, LOG10 string, src string")
+    assert sorted(map(tuple, freq.norm_table(n, ["all", "child"], "all").collect())) == [("가", "N", 3, 1, 0.5), ("나", "N", 0, 0, None)]
+
+
+def test_stitched_session(spark):
+    u = spark.createDataFrame([("s", 1, "a", 2.0), ("s", 2, "b", 3.0)], "s string, n int, utt_id string, dur double")
+    at = intervals.running_offset(u, ["s"], ["n"], "dur")
+    w = spark.createDataFrame([("a", 0.5, 1.0, "x"), ("b", 0.5, 1.0, "y"), ("c", 0.0, 1.0, "z")], "utt_id string, xmin double, xmax double, text string")
+    assert sorted((r.xmin, r.text) for r in intervals.shifted(w, at, "utt_id").collect()) == [(0.5, "x"), (2.5, "y")]
+
+
+def test_preflight(spark, tmp_path):
+    from utterlake.catalog import Catalog
+
+    spark.range(1).withColumn("a", F.lit(1)).write.parquet(f"file://{tmp_path}/t.parquet")
+    c = Catalog(spark, f"file://{tmp_path}")
+    assert c.verdict({"t": ["a", "b"], "u": ["x"]}) == (False, {"t": ["b"], "u": ["x"]})
+    assert c.verdict({"t": ["a"], "u": ["x"]}, frozenset({"u"})) == (True, {"u": ["x"]})
+    with pytest.raises(KeyError):
+        c.table("_comment")

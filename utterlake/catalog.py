@@ -30,3 +30,15 @@ class Catalog:
         """Columns that a table should have and lacks; reads no rows."""
         have = set(self.table(name).columns)
         return [c for c in required if c not in have]
+
+    def verdict(self, required: dict[str, list[str]], tolerated: frozenset[str] = frozenset()) -> tuple[bool, dict[str, list[str]]]:
+        """(may the build run, missing columns per table); a table that can't be read lacks all. Tolerated tables never block."""
+        lacks: dict[str, list[str]] = {}
+        for name, columns in required.items():
+            try:
+                missing = self.missing_columns(name, columns)
+            except Exception:  # noqa: BLE001 - whatever keeps the table from being read
+                missing = list(columns)
+            if missing:
+                lacks[name] = missing
+        return not set(lacks) - tolerated, lacks

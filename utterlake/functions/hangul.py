@@ -95,6 +95,11 @@ def boundary_table(on: frozenset[str] = frozenset(RULES)) -> tuple[list[int], li
     return [cell(c, o, bool(i), bool(g)) for c in codas for o in ONSETS for i in (0, 1) for g in (0, 1)], [codas.index(spoken_coda(c, on)) for c in codas]
 
 
+def _array(xs: list) -> Column:
+    """A constant array by one call to the JVM; the optimizer folds it into one literal."""
+    return F.expr("array(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in xs) + ")")
+
+
 def _div(c: Column, n: int) -> Column:
     return F.floor(c / n).cast("int")
 
@@ -118,7 +123,7 @@ def is_hangul_word(word: Column) -> Column:
 
 def spoken_codes(codes: Column, gaps: Column | None = None, on: frozenset[str] = frozenset(RULES)) -> Column:
     """Syllable codes as spoken. ``gaps`` holds the indices of syllables that end a verb stem before an ending."""
-    table, last = (F.lit(x) for x in boundary_table(on))
+    table, last = (_array(x) for x in boundary_table(on))
 
     def at(i: Column) -> Column:
         """coda * 19 + onset at the boundary after syllable i."""
@@ -138,7 +143,7 @@ def spoken_codes(codes: Column, gaps: Column | None = None, on: frozenset[str] =
 def romanized(codes: Column, spelled: bool = False, sound: str = " ", syllable: str = " _ ", names: Callable[[str], str] = str) -> Column:
     """Sounds of each syllable joined by ``sound``, syllables by ``syllable``; spelled codas keep their letters, spoken ones are seven."""
     codas = CODA_SPELLED if spelled else [CODA_SPOKEN.get(c, "") for c in _letters()]
-    onset, vowel, coda = (F.lit([names(x) if x else "" for x in xs]) for xs in (ONSET_ROMAN, VOWEL_ROMAN, codas))
+    onset, vowel, coda = (_array([names(x) if x else "" for x in xs]) for xs in (ONSET_ROMAN, VOWEL_ROMAN, codas))
 
     def one(s: Column) -> Column:
         sounds = F.array(F.get(onset, _div(s, 588)), F.get(vowel, _div(s % 588, 28)), F.get(coda, s % 28))
@@ -161,20 +166,24 @@ def stem_gaps(word_codes: Column, morphs: Column) -> Column:
 
     Only where the morphs have as many syllables as the word; irregular forms have none.
     """
-    parts = F.transform(morphs, lambda m: F.struct(syllable_codes(F.regexp_extract(m, r"(?s)^(.*)/([^/]*)$", 1)).alias("s"), F.regexp_extract(m, r"(?s)^(.*)/([^/]*)$", 2).alias("t")))
-    upto = lambda k: F.aggregate(F.slice(parts, 1, k + 1), F.lit(0), lambda a, p: a + F.size(p["s"]))
-    codas, onsets = _letters(), ONSETS
-    stem = F.array(*[F.lit(codas.index(c)) for c in STEM_CODAS])
-    soft = F.array(*[F.lit(onsets.index(o)) for o in STEM_ONSETS])
-
-    def gap(p: Column, k: Column) -> Column:
-        n = F.get(parts, k + 1)
-        fits = p["t"].isin(STEM_TAGS) & n["t"].isin(ENDING_TAGS) & (F.size(p["s"]) > 0) & (F.size(n["s"]) > 0)
-        fits = fits & F.array_contains(stem, F.get(p["s"], F.size(p["s"]) - 1) % 28) & F.array_contains(soft, _div(F.get(n["s"], 0), 588))
-        return F.when(fits, upto(k) - 1)
-
-    whole = F.aggregate(parts, F.lit(0), lambda a, p: a + F.size(p["s"])) == F.size(word_codes)
-    return F.when(whole, F.filter(F.transform(parts, gap), lambda g: g.isNotNull())).otherwise(F.array().cast("array<int>"))
+    stem = _array([_letters().index(c) for c in STEM_CODAS])
+    soft = _array([ONSETS.index(o) for o in STEM_ONSETS])
+    none = F.array().cast("array<int>")
+
+    def part(m: Column) -> Column:
+        codes = syllable_codes(F.regexp_extract(m, r"(?s)^(.*)/([^/]*)$", 1))
+        return F.struct(F.size(codes).alias("n"), F.get(codes, 0).alias("first"), F.get(codes, F.size(codes) - 1).alias("last"), F.regexp_extract(m, r"(?s)^(.*)/([^/]*)$", 2).alias("tag"))
+
+    def step(acc: Column, p: Column) -> Column:
+        fits = (acc["n"] > 0) & (p["n"] > 0) & acc["tag"].isin(STEM_TAGS) & p["tag"].isin(ENDING_TAGS)
+        fits = fits & F.array_contains(stem, acc["last"] % 28) & F.array_contains(soft, _div(p["first"], 588))
+        gaps = F.when(fits, F.concat(acc["gaps"], F.array(acc["pos"] - 1))).otherwise(acc["gaps"])
+        return F.struct((acc["pos"] + p["n"]).alias("pos"), p["n"].alias("n"), p["last"].alias("last"), p["tag"].alias("tag"), gaps.alias("gaps"))
+
+    # one fold over the morphs carries the position and the morph before
+    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("last"), F.lit("").alias("tag"), none.alias("gaps"))
+    parts = F.transform(F.coalesce(morphs, F.array().cast("array<string>")), part)
+    return F.aggregate(parts, start, step, lambda acc: F.when(acc["pos"] == F.size(word_codes), acc["gaps"]).otherwise(none))
 
 
 def with_pronunciation(df: DataFrame, form: str = "form", tagged: str | None = "tagged", rules: tuple[str, ...] = RULES, tense: str = "*", ipa_sound: str = "") -> DataFrame:

@@ -46,3 +46,11 @@ def dispersion(df: DataFrame, keys: list[str], doc: str) -> DataFrame:
 
 def with_share(df: DataFrame, n: str, by: list[str] | None = None, name: str = "share") -> DataFrame:
     return df.withColumn(name, F.col(n) / F.sum(n).over(Window.partitionBy(*(by or []))))
+
+
+def norm_table(norms: DataFrame, sources: list[str], main: str) -> DataFrame:
+    """Norms of several groups of speakers side by side: (WORD, POS_TAG, COUNT, LOG10, src) to one row per word and tag with a count per
+    source, 0 where it has none, and the logarithm of the main source. Counts that are no numbers count as 0."""
+    n = F.coalesce(F.col("COUNT").try_cast("double").try_cast("bigint"), F.lit(0))
+    counts = [F.sum(F.when(F.col("src") == s, n).otherwise(0)).alias(f"freq_{s}") for s in sources]
+    return norms.groupBy(F.col("WORD").alias("word"), F.col("POS_TAG").alias("pos")).agg(*counts, F.max(F.when(F.col("src") == main, F.col("LOG10").try_cast("double"))).alias("log10"))

@@ -102,3 +102,9 @@ def contained(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     p = parents.select(F.col(key), F.col("idx").alias("parent_idx"), F.col("xmin").alias("_b"), F.col("xmax").alias("_e"))
     mid = (F.col("xmin") + F.col("xmax")) / 2
     return children.join(p, key).where((mid >= F.col("_b")) & (mid < F.col("_e"))).drop("_b", "_e")
+
+
+def shifted(children: DataFrame, offsets: DataFrame, key: str) -> DataFrame:
+    """Intervals of an utterance in the time of its session: both ends plus the utterance's offset (key, offset). Others are left out."""
+    j = children.join(offsets.select(key, "offset"), key)
+    return j.withColumn("xmin", F.col("xmin") + F.col("offset")).withColumn("xmax", F.col("xmax") + F.col("offset")).drop("offset")

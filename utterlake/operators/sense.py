@@ -91,3 +91,16 @@ def etymology(types: Column, origins: Column) -> tuple[Column, Column]:
     t = F.array_sort(F.filter(types, lambda x: x != ""))
     kind = F.when(F.size(t) == 0, "").when(F.size(t) == 1, F.get(t, 0)).otherwise(F.concat(F.lit("혼합("), F.array_join(t, "|"), F.lit(")")))
     return kind, F.array_join(F.slice(F.array_sort(F.filter(origins, lambda x: x != "")), 1, 3), "|")
+
+
+VERB_TAGS = ["VV", "VA", "VX", "VCP", "VCN", "XSV", "XSA"]
+
+
+def pronunciation_index(lexicon: DataFrame) -> DataFrame:
+    """lexicon (word, pos_tag, sense_no, pron_1) to one pronunciation per (word, pos): that of the smallest sense, ties to the smaller
+    text. A verb in ``다`` also answers for its stem, after entries of that spelling. Rows without a pronunciation are left out."""
+    rows = lexicon.where("coalesce(word, '') <> '' and coalesce(pron_1, '') <> ''").select("word", F.col("pos_tag").alias("pos"), F.coalesce(F.col("sense_no").try_cast("int"), F.lit(999)).alias("n"), F.col("pron_1").alias("pron"))
+    is_verb = F.col("pos").isin(VERB_TAGS) & F.col("word").endswith("다") & (F.length("word") > 1)
+    keys = F.array(F.struct(F.col("word").alias("word"), F.lit(0).alias("stem")), F.struct(F.expr("substring(word, 1, length(word) - 1)").alias("word"), F.lit(1).alias("stem")))
+    long = rows.select("pos", "n", "pron", F.inline(F.when(is_verb, keys).otherwise(F.slice(keys, 1, 1))))
+    return long.groupBy("word", "pos").agg(F.min_by("pron", F.struct("stem", "n", "pron")).alias("pron"))

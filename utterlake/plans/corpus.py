@@ -30,7 +30,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_bins(spark: SparkSession, root: str) -> DataFrame:
-    return compact.bin_report(Catalog(spark, root).tiny_files, target_bytes=1 << 20)
+    return compact.bin_report(Catalog(spark, root).tiny_files)
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:

@@ -79,7 +79,7 @@ def tagged_roman(spark, root):
 
 def g2p_boundary(spark, root):
     """The whole boundary table: coda, onset, i after it, end of a verb stem; what is spoken."""
-    table = F.lit(boundary_table()[0])
+    table = F.expr(f"array({', '.join(map(str, boundary_table()[0]))})")
     codas, onsets = F.lit([c.strip() for c in CODAS]), F.lit(list(ONSETS))
     i = F.col("id").cast("int")
     r = F.get(table, i)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -36,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not given:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        given = "file://" + os.path.join(tempfile.gettempdir(), f"utterlake-{os.getuid()}")
+        own = tempfile.mkdtemp(prefix="utterlake-")  # one machine, unset: a folder of this process
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        given = f"file://{own}"
     sc.setCheckpointDir(given)
     return sc.getCheckpointDir()
 
