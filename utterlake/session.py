@@ -17,6 +17,7 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",  # small tables keep all cores of one machine busy
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": memory,
