@@ -1,0 +1,9 @@
+from utterlake.plans import registry
+
+
+def test_whole_session(spark, tmp_path):
+    """Utterances after the first minute stay, the one across it isn't clipped, and the tail reaches the greatest readable end."""
+    rows = [("S.1.1.1", "S", "a", "0.0", "1.5"), ("S.1.1.2", "S", "b", "59.0", "61.0"), ("S.1.1.2", "S", "b", "59.0", "61.0"), ("S.1.1.3", "S", "c", "600", "601"), ("S.1.1.4", "S", "d", None, "610"), ("S.1.1.5", "S", "e", "602", "x"), ("T.1.1.1", "T", "f", "5", "9")]
+    spark.createDataFrame(rows, "utt_id string, session_id string, form string, start string, end_sec string").write.parquet(f"{tmp_path}/search_master.parquet")
+    got = sorted(map(tuple, registry.queries()["tiers_whole"](spark, str(tmp_path)).collect()))
+    assert got == [("S", 0.0, 1.5, "S.1.1.1"), ("S", 59.0, 61.0, "S.1.1.2"), ("S", 600.0, 601.0, "S.1.1.3"), ("S", 601.0, 610.0, ""), ("T", 5.0, 9.0, "T.1.1.1")]

@@ -181,10 +181,14 @@ def empty_analysis(spark, root):
     return u.groupBy("session_id").agg(F.bool_or(bad).alias("any_empty"), F.count_if(bad).alias("n_empty")).where("any_empty")
 
 
-def _timed(spark, root):
+def _spoken(spark, root):
+    """One row per utterance of the search master, its times in microseconds, null where they can't be read."""
     s = _t(spark, root).search_master.where("utt_id is not null").groupBy("session_id", "utt_id").agg(F.max("form").alias("form"), F.max("start").alias("start"), F.max("end_sec").alias("end_sec"))
-    s = s.select("session_id", "utt_id", "form", F.element_at(F.split("utt_id", r"\."), -1).cast("int").alias("num"), micros("start").alias("b"), micros("end_sec").alias("e"))
-    return s.where("b is not null and e is not null and e >= b")
+    return s.select("session_id", "utt_id", "form", F.element_at(F.split("utt_id", r"\."), -1).cast("int").alias("num"), micros("start").alias("b"), micros("end_sec").alias("e"))
+
+
+def _timed(spark, root):
+    return _spoken(spark, root).where("b is not null and e is not null and e >= b")
 
 
 def session_order(spark, root):
@@ -211,10 +215,18 @@ def session_tiles(spark, root):
 
 
 def tiers_normalized(spark, root):
+    """The tier of the first minute of each session, as its SQL fixes it; `tiers_whole` has whole sessions."""
     t = _timed(spark, root).select("session_id", "utt_id", (F.col("b") / 1e6).alias("xmin"), (F.col("e") / 1e6).alias("xmax"), F.col("utt_id").alias("text"), F.lit(60.0).alias("dur"))
     return intervals.normalize_tier(t.where("xmin < dur"), ["session_id"], ["xmin", "xmax", "utt_id"], "dur")
 
 
+def tiers_whole(spark, root):
+    """The tier of each whole session, which lasts until its greatest readable end."""
+    dur = _spoken(spark, root).where("e is not null").groupBy(F.col("session_id").alias("of")).agg((F.max("e") / 1e6).alias("dur"))
+    t = _timed(spark, root).select("session_id", "utt_id", (F.col("b") / 1e6).alias("xmin"), (F.col("e") / 1e6).alias("xmax"), F.col("utt_id").alias("text"))
+    return intervals.normalize_tier(t.join(dur, F.col("session_id").eqNullSafe(F.col("of"))).drop("of"), ["session_id"], ["xmin", "xmax", "utt_id"], "dur")
+
+
 def _words(spark, root):
     e = _t(spark, root).events.select("user_id", "event_id", "value", (F.unix_micros(F.col("ts").cast("timestamp"))).alias("us"))
     return e.select("user_id", "event_id", "value", (F.col("us") / 1e6).alias("xmin"), (F.col("us") / 1e6 + 60.0).alias("xmax"))
@@ -335,6 +347,6 @@ def orders_stratified(spark, root):
 
 QUERIES = {f.__name__: f for f in (
     master, master_checks, flagship, pronunciation, spelled_roman, tagged_roman, g2p_boundary, hangul_letters, syllable_roman, categories, speakers_norm, speakers_changed, first_speakers, id_keys, labs, coverage_flags,
-    coverage_summary, still_missing, recovery, length_classes, empty_analysis, session_order, keyword_context, session_offsets, session_tiles, tiers_normalized, pauses, phrases, boundary_tones, pitch_stats, minute_averages,
+    coverage_summary, still_missing, recovery, length_classes, empty_analysis, session_order, keyword_context, session_offsets, session_tiles, tiers_normalized, tiers_whole, pauses, phrases, boundary_tones, pitch_stats, minute_averages,
     textgrid_intervals, textgrid_labels, regex_search, hitlist, located, n_insertion, words_by_set, top_sessions, first_sessions, seeded_sample, event_props, pron_compare, orders_master, orders_stratified,
 )}
