@@ -20,9 +20,9 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_turns(spark: SparkSession, root: str) -> DataFrame:
-    """Turns with their clean text and, where no label names one, the likely speaker."""
+    """Turns with their clean text; where no label names one, the likely speaker of each utterance parts and joins them."""
     t = Catalog(spark, root)
-    return turns.speaker_turns(t.search_master, t.dialogue_json, t.file_meta, with_text=True)
+    return turns.completed_turns(t.search_master, t.dialogue_json, t.file_meta, with_text=True)
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:

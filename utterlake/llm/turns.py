@@ -104,19 +104,21 @@ def numbered(utts: DataFrame) -> DataFrame:
 
 
 def turn_table(utts: DataFrame) -> DataFrame:
-    """Merges the utterances of each turn; a turn is first merged within its block of time, then over blocks."""
+    """Merges the utterances of each turn; a turn is first merged within its block of time, then over blocks. A column ``label`` is
+    kept: '' for a turn none of whose utterances has one."""
     key = F.struct("at", "num", "utt_id")
     with_text = "text" in utts.columns
+    label = [F.max("label").alias("label")] if "label" in utts.columns else []
     part = utts.groupBy("session_id", "tblock", "turn_no").agg(
-        F.max("speaker").alias("speaker_id"), F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("n"), *([F.array_sort(F.collect_list(F.struct("at", "num", "utt_id", "text"))).alias("texts")] if with_text else [])
+        F.max("speaker").alias("speaker_id"), F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("n"), *label, *([F.array_sort(F.collect_list(F.struct("at", "num", "utt_id", "text"))).alias("texts")] if with_text else [])
     )
     if with_text:
         part = part.withColumn("texts", F.struct("first", F.array_join(F.transform("texts", lambda x: x["text"]), " ").alias("text")))
     whole = part.groupBy("session_id", "turn_no").agg(
-        F.max("speaker_id").alias("speaker_id"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").cast("int").alias("n_utterances"), *([F.array_sort(F.collect_list("texts")).alias("texts")] if with_text else [])
+        F.max("speaker_id").alias("speaker_id"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").cast("int").alias("n_utterances"), *label, *([F.array_sort(F.collect_list("texts")).alias("texts")] if with_text else [])
     )
     text = [F.array_join(F.transform("texts", lambda x: x["text"]), " ").alias("text")] if with_text else []
-    return whole.select("session_id", "turn_no", "speaker_id", F.col("first.utt_id").alias("first_utt_id"), F.col("last.utt_id").alias("last_utt_id"), F.when(F.col("first.at") >= 0, F.col("first.at") / 1e6).alias("start"), "n_utterances", *text)
+    return whole.select("session_id", "turn_no", "speaker_id", F.col("first.utt_id").alias("first_utt_id"), F.col("last.utt_id").alias("last_utt_id"), F.when(F.col("first.at") >= 0, F.col("first.at") / 1e6).alias("start"), "n_utterances", *(["label"] if label else []), *text)
 
 
 def viterbi(emission: np.ndarray, before: int, after: int, stay: float) -> np.ndarray:
@@ -198,6 +200,16 @@ def infer_labels(utts: DataFrame, turns: DataFrame, words: DataFrame, file_meta:
     return decode_in.groupBy("session_id", "turn_no", "tblock", "piece").applyInPandas(decode, "session_id string, turn_no int, utt_id string, likely_speaker string")
 
 
+def _read(search_master: DataFrame, dialogue_json: DataFrame, file_meta: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(utterances with their turns, turns, inferred labels)."""
+    # both are read many times below: written down, they cut the lineage and are computed once
+    utts = stored(numbered(ordered(utterances(search_master, dialogue_json, with_text), file_meta)), "utterances")
+    turns = stored(turn_table(utts), "turns")
+    words = search_master.where("utt_id is not null").groupBy("session_id", "utt_id").agg(F.max("form").alias("form"))
+    words = words.select("session_id", "utt_id", split_ws("form").alias("words"))
+    return utts, turns, infer_labels(utts, turns, words, file_meta)
+
+
 def speaker_turns(search_master: DataFrame, dialogue_json: DataFrame, file_meta: DataFrame, with_text: bool = False) -> DataFrame:
     """The turns of every session: session_id, turn_no, speaker_id, first_utt_id, last_utt_id, start, n_utterances[, text], likely_speaker.
 
@@ -207,13 +219,25 @@ def speaker_turns(search_master: DataFrame, dialogue_json: DataFrame, file_meta:
     or missing start is carried from the utterance numbered before, or comes first in the session; a session without file_meta
     has no participants to choose from, so likely_speaker stays ''.
     """
-    # both are read many times below: written down, they cut the lineage and are computed once
-    utts = stored(numbered(ordered(utterances(search_master, dialogue_json, with_text), file_meta)), "utterances")
-    turns = stored(turn_table(utts), "turns")
-    words = search_master.where("utt_id is not null").groupBy("session_id", "utt_id").agg(F.max("form").alias("form"))
-    words = words.select("session_id", "utt_id", split_ws("form").alias("words"))
-    likely = infer_labels(utts, turns, words, file_meta).groupBy("session_id", "turn_no").agg(F.mode("likely_speaker", True).alias("likely"))
+    _, turns, inferred = _read(search_master, dialogue_json, file_meta, with_text)
+    likely = inferred.groupBy("session_id", "turn_no").agg(F.mode("likely_speaker", True).alias("likely"))
     # one aggregation puts both together; every turn passes the model's stage
     both = turns.withColumn("likely", F.lit(None).cast("string")).unionByName(likely, allowMissingColumns=True)
     both = both.groupBy("session_id", "turn_no").agg(*[F.max(c).alias(c) for c in both.columns if c not in ("session_id", "turn_no")])
     return both.withColumn("likely_speaker", F.coalesce(F.when(F.col("speaker_id") != "", F.col("speaker_id")), "likely", F.lit(""))).drop("likely")
+
+
+def completed_turns(search_master: DataFrame, dialogue_json: DataFrame, file_meta: DataFrame, with_text: bool = False) -> DataFrame:
+    """The columns of `speaker_turns`, but turns change wherever the completed speaker does.
+
+    The inferred label is put on each utterance without one, then turns are numbered and merged again. likely_speaker is the
+    completed speaker of the turn; speaker_id is '' where no utterance of it has a label.
+    """
+    utts, _, inferred = _read(search_master, dialogue_json, file_meta, with_text)
+    utts = utts.drop("turn_no", "tblock").withColumnRenamed("speaker", "label").withColumn("content", F.lit(1))
+    # only utterances without a label meet the inferred ones
+    known = utts.where("label <> ''").withColumn("speaker", F.col("label"))
+    other = utts.where("label = ''").join(inferred.select("session_id", "utt_id", F.col("likely_speaker").alias("speaker")), ["session_id", "utt_id"], "left").fillna("", ["speaker"])
+    # read twice by `numbered`
+    turns = turn_table(numbered(stored(known.unionByName(other), "completed")))
+    return turns.withColumnRenamed("speaker_id", "likely_speaker").withColumnRenamed("label", "speaker_id").select("session_id", "turn_no", "speaker_id", "first_utt_id", "last_utt_id", "start", "n_utterances", *(["text"] if with_text else []), "likely_speaker")
