@@ -24,8 +24,8 @@ from utterlake.session import stored
 CHUNK, FAN_IN, MAX_COMMON = 1 << 18, 64, 100_000
 #: Share of words with a grammatical ending from which a line is a piece of a sentence, alone and for a run of very short lines.
 SENTENCE_SHARE, SHORT_SHARE = 0.3, 0.3
-#: How much of a line's ends, and of a very long word, is kept as text.
-KEEP = 64
+#: How much of a line's ends is kept as text, and up to which length an unfinished word is; a longer one is kept as a `long_word`.
+KEEP, KEEP_WORD = 64, 256
 
 # Endings of Korean words in sentences (the second set also ends many nouns), English function words, list marks.
 _ENDING = re.compile(
@@ -73,6 +73,7 @@ class Lexicon:
 
     def __init__(self, common: frozenset[str]):
         self.common, self.cache, self.kinds = common, {}, Kinds()
+        self.keep = max([KEEP_WORD, *map(len, common)])  # any longer word isn't a common one
 
     def __getstate__(self):
         return self.common
@@ -80,7 +81,21 @@ class Lexicon:
     def __setstate__(self, common):
         self.__init__(common)
 
-    def word(self, token: str) -> int:
+    def unfinished(self, word: str) -> str | list:
+        return word if len(word) <= self.keep else long_word(word, self.keep)
+
+    def joined(self, a: str | list, b: str | list) -> str | list:
+        if not a or not b:
+            return a or b
+        if isinstance(a, str) and isinstance(b, str) and len(a) + len(b) <= self.keep:
+            return a + b
+        return joined_long(*(long_word(w, self.keep) if isinstance(w, str) else w for w in (a, b)), self.keep)
+
+    def word(self, token: str | list) -> int:
+        if len(token) > self.keep:
+            token = long_word(token, self.keep)
+        if isinstance(token, list):
+            return packed(long_sums(token, self.common))
         x = self.cache.get(token)
         if x is None:
             if len(self.cache) >= 200_000:
@@ -110,51 +125,107 @@ class Lexicon:
         return v
 
 
-def _cut(word: str) -> str:
-    return word if len(word) <= 4 * KEEP else word[: 2 * KEEP] + word[-2 * KEEP :]
+_EDGE_RUN, _COMMA_IN, _TAG, _TAG_END, _EQUALS = (re.compile(p) for p in (r"[\W_]*", r"\w,(?=\w)", r"[^/\s]/[A-Z]{2,4}[+,.;]", r"[^/\s]/[A-Z]{2,4}$", r"\w=\S"))
+_REACH = 7  # characters that the patterns inside a word span at most
+
+
+def long_word(w: str, keep: int) -> list:
+    """What `Lexicon.sums` asks of a word, in bounded space: length, first and last characters, edge characters before and after what is
+    bare (both are the length if nothing is), the bare word (None beyond ``keep``) and its end, commas inside, tagged, equals sign,
+    digits, Latin letters, Hangul. `joined_long` of two words is that of the word they make."""
+    n = len(w)
+    pre = _EDGE_RUN.match(w).end()
+    post = n if pre == n else _EDGE_RUN.match(w[::-1]).end()
+    bare = "" if pre == n else w[pre : n - post]
+    return [
+        n, w[:keep], w[-keep:], pre, post, bare if len(bare) <= keep else None, bare[-3:], len(_COMMA_IN.findall(w)), _TAG.search(w) is not None, _EQUALS.search(w) is not None,
+        len(re.findall(r"\d", w)), re.search("[a-zA-Z]", w) is not None, re.search("[가-힣]", w) is not None,
+    ]
+
+
+def joined_long(a: list, b: list, keep: int) -> list:
+    n, first, last, pre, post, bare, end, commas, tagged, equals, digits, latin, hangul = a
+    n2, first2, last2, pre2, post2, bare2, end2, commas2, tagged2, equals2, digits2, latin2, hangul2 = b
+    x, y = last[-_REACH:], first2[:_REACH]
+    across = len(_COMMA_IN.findall(x + y)) - len(_COMMA_IN.findall(x)) - len(_COMMA_IN.findall(y))
+    left, right = pre < n, pre2 < n2  # whether there is anything bare
+    if left and right:
+        inside = n - pre + n2 - post2
+        # edge characters are in no ending, so one stands for all between
+        end2 = ((end if not post + pre2 else "-") + end2)[-3:]
+        bare2 = bare + last[len(last) - post :] + first2[:pre2] + bare2 if inside <= keep else None
+    elif left:
+        bare2, end2 = bare, end
+    return [
+        n + n2, (first + first2)[:keep], (last + last2)[-keep:], pre if left else n + pre2, post2 if right else n2 + post, bare2, end2, commas + commas2 + across, tagged or tagged2 or _TAG.search(x + y) is not None,
+        equals or equals2 or _EQUALS.search(x + y) is not None, digits + digits2, latin or latin2, hangul or hangul2,
+    ]
+
+
+def long_sums(w: list, common: frozenset[str]) -> dict[int, int]:
+    """`Lexicon.sums` of a `long_word`."""
+    n, first, last, pre, post, bare, end, commas, tagged, equals, digits, latin, hangul = w
+    v = {TOKENS: 1, COMMA_END: last.endswith(","), COMMA_IN: commas, TAGGED: tagged or _TAG_END.search(last) is not None, EQUALS: equals}
+    if pre < n:
+        v[WORDS], v[LETTERS] = 1, n - pre - post
+        if "가" <= end[-1] <= "힣":
+            if v[LETTERS] > 1:
+                v[STRONG] = _ENDING.search(end) is not None
+                v[WEAK] = not v[STRONG] and _NOUN_LIKE.search(end) is not None
+        else:
+            v[ENGLISH] = bare is not None and bare.lower() in _FUNCTION_WORDS
+        v[COMMON] = bare is not None and bare.lower() in common
+    v[PAREN] = first[0] == "(" and last[-1] == ")" and 0 < digits == n - 2
+    v[HASH] = n >= 20 and digits > 0 and latin and not hangul
+    return v
 
 
 class Line:
     """A piece of a line: sums over characters and over the words that end inside it, and as text what a neighbour may change."""
 
-    __slots__ = ("kinds", "sums", "head", "tail", "lead", "trail", "start", "end")
+    __slots__ = ("kinds", "sums", "head", "tail", "lead", "trail", "blank", "start", "end")
 
-    def __init__(self, kinds, sums, head, tail, lead, trail, start, end):
+    def __init__(self, kinds, sums, head, tail, lead, trail, blank, start, end):
+        # blank: the white space at the beginning, start: what follows it, end: what stands before the white space at the end, each cut to KEEP
         # head: the word that touches the beginning ('' if the piece begins with white space); tail likewise at the end, None if head reaches the end
-        self.kinds, self.sums, self.head, self.tail, self.lead, self.trail, self.start, self.end = kinds, sums, head, tail, lead, trail, start, end
+        self.kinds, self.sums, self.head, self.tail, self.lead, self.trail, self.blank, self.start, self.end = kinds, sums, head, tail, lead, trail, blank, start, end
 
     @classmethod
     def of(cls, text: str, lex: Lexicon) -> Line:
         kinds = sum(map(lex.kinds.__getitem__, text))
         words = text.split()
-        lead, trail = len(text) - len(text.lstrip()), len(text) - len(text.rstrip())
+        left, right = text.lstrip(), text.rstrip()
+        lead, trail = len(text) - len(left), len(text) - len(right)
+        ends = text[: min(lead, KEEP)], left[:KEEP], right[-KEEP:]
         sums = len(text) << (BITS * CHARS)
         if not words:
-            return cls(kinds, sums, "", None if not text else "", lead, 0, text[:KEEP], text[-KEEP:])
+            return cls(kinds, sums, "", None if not text else "", lead, 0, *ends)
         if "   " in text:
             sums += len(re.findall(r"\S {3,}(?=\S)", text)) << (BITS * GAPS)
         head = words.pop(0) if not lead else ""
         if not words and not trail and head:
-            return cls(kinds, sums, _cut(head), None, 0, 0, text[:KEEP], text[-KEEP:])
+            return cls(kinds, sums, lex.unfinished(head), None, 0, 0, *ends)
         tail = words.pop() if not trail else ""
         sums += sum(map(lex.word, words))
-        return cls(kinds, sums, _cut(head), _cut(tail), lead, trail, text[:KEEP], text[-KEEP:])
+        return cls(kinds, sums, lex.unfinished(head), lex.unfinished(tail), lead, trail, *ends)
 
     def merge(self, o: Line, lex: Lexicon) -> Line:
         kinds, sums = self.kinds + o.kinds, self.sums + o.sums
-        start, end = (self.start + o.start)[:KEEP], (self.end + o.end)[-KEEP:]
+        blank = self.blank if self.start else (self.blank + o.blank)[:KEEP]
+        start = (self.start + o.blank + o.start)[:KEEP] if self.start else o.start
+        end = (self.end + " " * min(self.trail, KEEP) + o.end)[-KEEP:] if o.end else self.end
         if self.tail is None and o.tail is None:
-            return Line(kinds, sums, _cut(self.head + o.head), None, self.lead, o.trail, start, end)
+            return Line(kinds, sums, lex.joined(self.head, o.head), None, self.lead, o.trail, blank, start, end)
         if self.tail is None:
-            return Line(kinds, sums, _cut(self.head + o.head), o.tail, self.lead if self.head else o.lead, o.trail, start, end)
+            return Line(kinds, sums, lex.joined(self.head, o.head), o.tail, self.lead if self.head else o.lead, o.trail, blank, start, end)
         if o.tail is None:
-            return Line(kinds, sums, self.head, _cut(self.tail + o.head), self.lead, self.trail if not o.head else 0, start, end)
-        word = self.tail + o.head
+            return Line(kinds, sums, self.head, lex.joined(self.tail, o.head), self.lead, self.trail if not o.head else 0, blank, start, end)
+        word = lex.joined(self.tail, o.head)
         if word:
-            sums += lex.word(_cut(word))
+            sums += lex.word(word)
         if (not word or not self.tail or not o.head) and self.trail + o.lead >= 3:
             sums += 1 << (BITS * GAPS)
-        return Line(kinds, sums, self.head, o.tail, self.lead, o.trail, start, end)
+        return Line(kinds, sums, self.head, o.tail, self.lead, o.trail, blank, start, end)
 
     def closed(self, lex: Lexicon) -> tuple[list[int], list[int]]:
         sums = self.sums + sum(lex.word(w) for w in (self.head, self.tail) if w)
