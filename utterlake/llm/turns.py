@@ -6,6 +6,8 @@ bounded size, and over one summary row per block; so a session that holds a thir
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -121,14 +123,22 @@ def turn_table(utts: DataFrame) -> DataFrame:
     return whole.select("session_id", "turn_no", "speaker_id", F.col("first.utt_id").alias("first_utt_id"), F.col("last.utt_id").alias("last_utt_id"), F.when(F.col("first.at") >= 0, F.col("first.at") / 1e6).alias("start"), "n_utterances", *(["label"] if label else []), *text)
 
 
-def viterbi(emission: np.ndarray, before: int, after: int, stay: float) -> np.ndarray:
-    """The likeliest states of a chain: log emissions (steps x states), the state before and after (-1: unknown), probability of staying."""
+def transitions(k: int, stay: float) -> np.ndarray:
+    move = np.full((k, k), np.log((1 - stay) / max(1, k - 1)))
+    np.fill_diagonal(move, np.log(stay))
+    return move
+
+
+def viterbi(emission: np.ndarray, before: int, after: int, stay: float, first: int = -1, last: int = -1) -> np.ndarray:
+    """The likeliest states of a chain: log emissions (steps x states), the state before and after (-1: unknown), probability of staying;
+    first and last fix the states of its own ends (-1: free)."""
     n, k = emission.shape
     if k == 1:
         return np.zeros(n, dtype=int)
-    move = np.full((k, k), np.log((1 - stay) / (k - 1)))
-    np.fill_diagonal(move, np.log(stay))
+    move = transitions(k, stay)
     score = emission[0] + (move[before] if before >= 0 else -np.log(k))
+    if first >= 0:
+        score = np.where(np.arange(k) == first, score, -np.inf)
     back = np.zeros((n, k), dtype=int)
     for t in range(1, n):
         via = score[:, None] + move
@@ -137,12 +147,47 @@ def viterbi(emission: np.ndarray, before: int, after: int, stay: float) -> np.nd
     if after >= 0:
         score = score + move[:, after]
     path = np.empty(n, dtype=int)
-    path[-1] = score.argmax()
+    path[-1] = last if last >= 0 else score.argmax()
     for t in range(n - 1, 0, -1):
         path[t - 1] = back[t, path[t]]
     return path
 
 
+def best_scores(emission: np.ndarray, stay: float) -> np.ndarray:
+    """Of a piece of a chain: the score of the likeliest path from each first state (row) to each last state (column)."""
+    k = emission.shape[1]
+    move = transitions(k, stay)
+    best = np.full((k, k), -np.inf)
+    np.fill_diagonal(best, emission[0])
+    for e in emission[1:]:
+        best = (best[:, :, None] + move).max(1) + e
+    return best
+
+
+def piece_ends(scores: list[np.ndarray], before: int, after: int, stay: float) -> list[tuple[int, int]]:
+    """The first and last state of each piece on the likeliest path of the whole chain: pieces are joined in max-plus, one matrix each."""
+    k = len(scores[0])
+    move = transitions(k, stay)
+    enter = move[before] if before >= 0 else np.full(k, -np.log(k))
+    firsts, froms = [], []  # by last state of a piece: its first state; by first state: the last state of the piece before
+    for i, m in enumerate(scores):
+        if i:
+            via = leave[:, None] + move
+            froms.append(via.argmax(0))
+            enter = via.max(0)
+        total = enter[:, None] + m
+        firsts.append(total.argmax(0))
+        leave = total.max(0)
+    last = int((leave + move[:, after] if after >= 0 else leave).argmax())
+    ends = []
+    for i in range(len(scores) - 1, -1, -1):
+        first = int(firsts[i][last])
+        ends.append((first, last))
+        if i:
+            last = int(froms[i - 1][first])
+    return ends[::-1]
+
+
 def stay_probability(turns: DataFrame) -> DataFrame:
     """One row: how likely the next utterance with a label is by the same speaker, smoothed."""
     t = turns.where("speaker_id <> ''").agg(F.coalesce(F.sum("n_utterances"), F.lit(0)).alias("n"), F.count("*").alias("t"))
@@ -155,7 +200,9 @@ def infer_labels(utts: DataFrame, turns: DataFrame, words: DataFrame, file_meta:
     A hidden Markov model: states are the participants of the session, emissions their language profiles (smoothed word counts of
     what they say with a label in this session), transitions how often speakers change in the corpus. A label is certain, so
     the chain falls apart at labelled utterances: each run between two of them is decoded by itself, from the speaker before to
-    the speaker after. A run that crosses a block of time or is longer than PIECE is decoded in pieces, the inner ends without a known neighbour.
+    the speaker after. A run that crosses a block of time or is longer than PIECE is decoded in pieces, with the result of the whole:
+    each piece is summed up by the best score between each pair of its end states, the run's pieces (one row each) give the end
+    states of the likeliest path, and each piece is decoded between them. Of equally likely paths any one may be taken.
     """
     # turn numbers are dense, so a turn's neighbours are met by an equi-join on the number: no window over a session
     unlabelled_turns = turns.where("speaker_id = ''").select("session_id", "turn_no")
@@ -182,22 +229,41 @@ def infer_labels(utts: DataFrame, turns: DataFrame, words: DataFrame, file_meta:
     )
     decode_in = runs.join(scored, ["session_id", "utt_id"], "left").join(F.broadcast(stay_probability(turns)))
     piece, last_piece = F.floor(F.col("rank") / PIECE), F.floor(F.col("last_rank") / PIECE)
+    # whether the run goes on beyond the piece, at either side
+    begins, ends_ = (F.col("tblock") == F.col("first_block")) & (piece == 0), (F.col("tblock") == F.col("last_block")) & (piece == last_piece)
     decode_in = decode_in.select(
-        "session_id", "turn_no", "tblock", piece.alias("piece"), "rank", "utt_id",
-        F.when((F.col("tblock") == F.col("first_block")) & (piece == 0), F.col("before")).alias("before"),
-        F.when((F.col("tblock") == F.col("last_block")) & (piece == last_piece), F.col("after")).alias("after"),
+        "session_id", "turn_no", "tblock", piece.alias("piece"), "rank", "utt_id", F.when(begins, F.col("before")).alias("before"), F.when(ends_, F.col("after")).alias("after"), (begins & ends_).alias("whole"),
         "people", "stay", F.transform("people", lambda p: F.coalesce(F.try_element_at("ll", p), F.lit(0.0))).alias("ll"),
     )
+    decode_in = stored(decode_in, "runs")  # read for the scores of pieces and again to decode them
+    key = ["session_id", "turn_no", "tblock", "piece"]
+    at = lambda s, people_: people_.index(s) if s in people_ else -1
+
+    def summed_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        r = pdf.iloc[0]
+        people_ = list(r["people"])
+        scores = best_scores(np.array(pdf["ll"].tolist(), dtype=float), r["stay"])
+        return pd.DataFrame({**{c: [r[c]] for c in key}, "states_before": [at(r["before"], people_)], "states_after": [at(r["after"], people_)], "stay": [r["stay"]], "scores": [scores.ravel().tolist()]})
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["tblock", "piece"])
+        k = math.isqrt(len(pdf["scores"].iloc[0]))
+        found = piece_ends([np.array(x).reshape(k, k) for x in pdf["scores"]], int(pdf["states_before"].iloc[0]), int(pdf["states_after"].iloc[-1]), pdf["stay"].iloc[0])
+        return pd.DataFrame({**{c: pdf[c] for c in key}, "first_state": [x for x, _ in found], "last_state": [x for _, x in found]})
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
         r = pdf.iloc[0]
         people_ = list(r["people"])
-        at = lambda s: people_.index(s) if s in people_ else -1
-        path = viterbi(np.array(pdf["ll"].tolist(), dtype=float), at(r["before"]), at(r["after"]), r["stay"])
+        path = viterbi(np.array(pdf["ll"].tolist(), dtype=float), at(r["before"], people_), at(r["after"], people_), r["stay"], int(r["first_state"]), int(r["last_state"]))
         return pd.DataFrame({"session_id": pdf["session_id"], "turn_no": pdf["turn_no"], "utt_id": pdf["utt_id"], "likely_speaker": [people_[i] for i in path]})
 
-    return decode_in.groupBy("session_id", "turn_no", "tblock", "piece").applyInPandas(decode, "session_id string, turn_no int, utt_id string, likely_speaker string")
+    names = "session_id string, turn_no int, tblock bigint, piece bigint"
+    scores = decode_in.where("not whole").groupBy(*key).applyInPandas(summed_up, f"{names}, states_before int, states_after int, stay double, scores array<double>")
+    ends = scores.groupBy("session_id", "turn_no").applyInPandas(joined, f"{names}, first_state int, last_state int")
+    fixed = decode_in.join(ends, key, "left").fillna(-1, ["first_state", "last_state"])
+    return fixed.groupBy(*key).applyInPandas(decode, "session_id string, turn_no int, utt_id string, likely_speaker string")
 
 
 def _read(search_master: DataFrame, dialogue_json: DataFrame, file_meta: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
