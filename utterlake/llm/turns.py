@@ -197,7 +197,7 @@ def stay_probability(turns: DataFrame) -> DataFrame:
 def infer_labels(utts: DataFrame, turns: DataFrame, words: DataFrame, file_meta: DataFrame) -> DataFrame:
     """(session_id, turn_no, utt_id, likely_speaker) for the utterances without a label.
 
-    A hidden Markov model: states are the participants of the session, emissions their language profiles (smoothed word counts of
+    A hidden Markov model: states are the participants of the session (listed in file_meta or heard with a label), emissions their language profiles (smoothed word counts of
     what they say with a label in this session), transitions how often speakers change in the corpus. A label is certain, so
     the chain falls apart at labelled utterances: each run between two of them is decoded by itself, from the speaker before to
     the speaker after. A run that crosses a block of time or is longer than PIECE is decoded in pieces, with the result of the whole:
@@ -209,12 +209,16 @@ def infer_labels(utts: DataFrame, turns: DataFrame, words: DataFrame, file_meta:
     open_sessions = unlabelled_turns.select("session_id").distinct()
     beside = lambda step, name: turns.select("session_id", (F.col("turn_no") + step).alias("turn_no"), F.col("speaker_id").alias(name))
     near = unlabelled_turns.join(beside(1, "before"), ["session_id", "turn_no"], "left").join(beside(-1, "after"), ["session_id", "turn_no"], "left")
-    people = session_speakers(file_meta).select("session_id", F.array_distinct(F.filter(F.split("speaker_ids", r"\|"), lambda x: x != "")).alias("people"))
+    # participants: those listed, in the list's order, then others whose labels are heard in the session
+    named = session_speakers(file_meta).join(open_sessions, "session_id", "left_semi").select("session_id", F.posexplode(F.transform(F.split("speaker_ids", r"\|"), F.btrim)).alias("place", "person"))
+    named = named.unionByName(utts.where("speaker <> ''").join(open_sessions, "session_id", "left_semi").select("session_id", F.lit(1 << 30).alias("place"), F.col("speaker").alias("person")))
+    named = named.where("person <> ''").groupBy("session_id", "person").agg(F.min("place").alias("place"))
+    people = named.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "person"))), lambda x: x["person"]).alias("people"))
     unlabelled = utts.where("speaker = ''").select("session_id", "turn_no", "tblock", "at", "num", "utt_id")
     in_block = Window.partitionBy("session_id", "turn_no", "tblock")
     ends = unlabelled.groupBy("session_id", "turn_no").agg(F.min("tblock").alias("first_block"), F.max("tblock").alias("last_block"))
     unlabelled = unlabelled.withColumn("rank", F.row_number().over(in_block.orderBy("at", "num", "utt_id")) - 1).withColumn("last_rank", F.max("rank").over(in_block))
-    runs = near.join(people.where("size(people) > 0"), "session_id").join(ends, ["session_id", "turn_no"]).join(unlabelled, ["session_id", "turn_no"])
+    runs = near.join(people, "session_id").join(ends, ["session_id", "turn_no"]).join(unlabelled, ["session_id", "turn_no"])
     heard = words.join(open_sessions, "session_id", "left_semi")
     spoken = utts.select("session_id", "utt_id", "speaker").join(heard, ["session_id", "utt_id"]).select("session_id", "utt_id", "speaker", F.explode("words").alias("word"))
     counts = spoken.where("speaker <> ''").groupBy("session_id", "speaker", "word").agg(F.count("*").alias("c"))
@@ -282,8 +286,8 @@ def speaker_turns(search_master: DataFrame, dialogue_json: DataFrame, file_meta:
     speaker_id is the resolved label, '' for a turn without one; likely_speaker is speaker_id or, for such a turn, whom the hidden
     Markov model takes most of its utterances to be by. Utterances that hold nothing but time marks, sound notes and hesitations
     are left out first. Rows with the same utt_id are one utterance; rows without utt_id or session_id are left out; an unreadable
-    or missing start is carried from the utterance numbered before, or comes first in the session; a session without file_meta
-    has no participants to choose from, so likely_speaker stays ''.
+    or missing start is carried from the utterance numbered before, or comes first in the session; a session without a list in
+    file_meta and without any label has no participants to choose from, so likely_speaker stays ''.
     """
     _, turns, inferred = _read(search_master, dialogue_json, file_meta, with_text)
     likely = inferred.groupBy("session_id", "turn_no").agg(F.mode("likely_speaker", True).alias("likely"))
