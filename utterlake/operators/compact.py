@@ -52,9 +52,7 @@ def textgrid_complete(text: str) -> bool:
 
 
 def csv_records(text: str) -> Iterator[tuple[str, str]]:
-    """(utt_id, record as JSON) of the complete records of a CSV file: those with all fields of its header."""
-    if "\0" in text:
-        return
+    """(utt_id, record as JSON) of the complete records of a CSV file: those with all fields of its header and no NUL (a file broken off may be padded with them)."""
     rows = csv.reader(io.StringIO(text.lstrip("﻿"), newline=""))
     try:
         header = [h.strip().strip("﻿") for h in next(rows)]
@@ -62,7 +60,7 @@ def csv_records(text: str) -> Iterator[tuple[str, str]]:
             return
         at = header.index("utt_id")
         for row in rows:
-            if len(row) == len(header) and row[at].strip():
+            if len(row) == len(header) and row[at].strip() and not any("\0" in x for x in row):
                 yield row[at].strip(), json.dumps(dict(zip(header, row, strict=True)), ensure_ascii=False)
     except (StopIteration, csv.Error):
         return
