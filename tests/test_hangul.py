@@ -113,3 +113,15 @@ def test_other_words_and_warnings(spark):
 @pytest.mark.parametrize(("x", "y"), [("G foo", "k⟨foo⟩"), ("∅", "∅")])
 def test_unknown_sounds_show(spark, x, y):
     assert spark.createDataFrame([(x,)], "r string").select(to_ipa(F.col("r"), ipa_map())).first()[0] == y
+
+
+def test_memory_says_what_columns_say(spark):
+    """The Arrow function with a memory of words gives what the column expressions give."""
+    from utterlake.functions.hangul import with_pronunciation_columns
+
+    rows = [("저는 여행 다니는 것을", None), ("신고 안고 앉다 넓게!", "신/VV+고/EC 안/VV+고/EC 앉/VV+다/EC 넓/VA+게/EC+!/SF"), ("신고", "신/VV+고/EC 더/MAG"), ("ab 값 12 닭이", "ab/SL|값/NNG|12/SN|닭/NNG+이/JKS"), (None, None), ("  ", "x/NNG"), ("감고 감고", "감/VV+고/EC 감/NNG+고/JC")]
+    df = spark.createDataFrame(rows, "form string, tagged string")
+    cols = ["form", "tagged", "n_eojeol", "form_roman", "pron_pred_hangul", "pron_pred_roman", "pron_pred_ipa", "align_warn"]
+    for on in (RULES, tuple(r for r in RULES if r not in ("liaison", "stem_fortis"))):
+        a, b = (sorted(map(str, f(df, rules=on).select(*cols).collect())) for f in (with_pronunciation, with_pronunciation_columns))
+        assert a == b

@@ -1,7 +1,9 @@
 import datetime as dt
 import json
 
-from utterlake.operators.nested import flatten_arguments, flatten_layer, flatten_links, newest_readable, typed_sentences
+import pyarrow as pa
+
+from utterlake.operators.nested import flatten_arguments, flatten_layer, flatten_links, flatten_analyses, flatten_sentences, id_lists, newest_readable, typed_documents
 
 T = [dt.datetime(2026, 1, d) for d in (1, 2, 3)]
 
@@ -36,7 +38,39 @@ def test_links(spark):
 
 
 def test_full_tables_and_empty(spark):
-    t = typed_sentences(newest_readable(table(spark, [("F", T[0], body(SENTENCES), 0, "")])))
-    assert [tuple(r) for r in flatten_layer(t, "mp").where("item_no < 3").orderBy("item_no").collect()] == [("s1", 1, "1", "나", "NP"), ("s1", 2, "1", "는", "JX")]
-    assert [(r.arg_no, r.role, r.form) for r in flatten_arguments(t).orderBy("arg_no").collect()] == [(1, "argument", "나는"), (2, "adjunct", "y"), (3, "adjunct", "z")]
+    t = typed_documents(newest_readable(table(spark, [("F", T[0], body(SENTENCES), 0, "")])))
+    assert [tuple(r) for r in flatten_layer(t, "mp").where("item_no < 3").orderBy("item_no").collect()] == [("F", 1, 1, "s1", 1, "1", "나", "NP"), ("F", 1, 1, "s1", 2, "1", "는", "JX")]
+    got = [(r.arg_no, r.role, r.form, r.word_ids, r.predicate_word_id) for r in flatten_arguments(t).orderBy("arg_no").collect()]
+    assert got == [(1, "argument", "나는", "1|2", "2"), (2, "adjunct", "y", "", "2"), (3, "adjunct", "z", "7", "2")]
     assert flatten_links(table(spark, [])).count() == 0
+    assert flatten_layer(typed_documents(newest_readable(table(spark, []))), "za").count() == 0
+
+
+def test_sentences_without_id_stay_apart(spark):
+    """Slices, nulls and things that aren't objects keep their places; children carry file, document and sentence."""
+    many = [None, 7, *({"MP": {"form": str(i), "word_id": i}} for i in range(200))]
+    docs = json.dumps({"document": [{"sentence": many}, None, {"sentence": {"id": "z", "MP": [{"form": "q"}]}}]})
+    t = typed_documents(newest_readable(table(spark, [("F", T[0], docs, 0, "")])))
+    keys = [tuple(r) for r in flatten_sentences(t).select("doc_no", "sent_no", "sentence_id").orderBy("doc_no", "sent_no").collect()]
+    assert keys == [(1, i + 3, "") for i in range(200)] + [(3, 1, "z")]
+    got = {(r.doc_no, r.sent_no): r.form for r in flatten_layer(t, "mp").collect()}
+    assert got == {**{(1, i + 3): str(i) for i in range(200)}, (3, 1): "q"}
+
+
+def test_zero_anaphora_and_dependencies(spark):
+    s = {"id": "s", "DP": [{"word_id": 1, "word_form": "a", "head": -1, "label": "VP"}], "ZA": {"predicate": {"form": "p", "word_id": 4}, "ellipsis": [{"restored": {"form": "r", "type": "t"}, "antecedent": {"form": "x", "sentence_id": "s0"}}, {"antecedent": []}]}}
+    t = typed_documents(newest_readable(table(spark, [("F", T[0], body([s]), 0, "")])))
+    assert [tuple(r)[4:] for r in flatten_layer(t, "dp").collect()] == [(1, "1", "a", "-1", "VP")]
+    assert sorted(tuple(r)[4:] for r in flatten_layer(t, "za").collect()) == [(1, 1, "p", "4", "r", "t", "x", "s0"), (1, 2, "p", "4", None, None, None, None)]
+
+
+def test_analyses_follow_entries(spark):
+    s = {"id": "s", "word": [{"id": 1, "form": "나는"}, {"id": 2, "form": "x"}, {"form": "y"}], "MP": [{"form": "나", "label": "NP", "word_id": 1}, {"form": "z", "label": "Q"}, {"form": "는", "label": "JX", "word_id": "1"}]}
+    t = typed_documents(newest_readable(table(spark, [("F", T[0], body([s]), 0, ""), ("G", T[0], body([]), 0, "")])))
+    assert [(r.word_surface, r.morpheme_analysis) for r in flatten_analyses(t).collect()] == [("나는", "나/NP+는/JX"), ("x", ""), ("y", "")]
+
+
+def test_id_lists():
+    x = pa.array(["1", None, "", '[1, "2", null, 1]', "[", "[]", "a b"])
+    assert id_lists(x).to_pylist() == [["1"], [], [], ["1", "2"], ["["], [], ["a b"]]
+    assert id_lists(pa.array([], pa.string())).to_pylist() == []

@@ -8,9 +8,11 @@ each, however many rules there are.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +21,11 @@ from utterlake.functions.text import packed_tagged, split_ws
 # Letters in the order of their code points, their romanization, and the sound changes as published.
 ONSETS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
 CODAS = " ㄱㄲㄳㄴㄵㄶㄷㄹㄺㄻㄼㄽㄾㄿㅀㅁㅂㅄㅅㅆㅇㅈㅊㅋㅌㅍㅎ"
-ONSET_ROMAN = "G KK N D TT R M B PP S SS - J JJ CH K T P H".replace("-", "").split(" ")
+ONSET_ROMAN = ["G", "KK", "N", "D", "TT", "R", "M", "B", "PP", "S", "SS", "", "J", "JJ", "CH", "K", "T", "P", "H"]
 VOWEL_ROMAN = "A AE YA YAE EO E YEO YE O WA WAE OE YO U WO WE WI YU EU UI I".split()
 CODA_SPELLED = " k kk ks n nj nh t l lk lm lp ls lt lph lh m p ps s ss ng j ch kh th ph h".split(" ")
 CODA_SPOKEN = {"": "", "ㄱ": "k", "ㄴ": "n", "ㄷ": "t", "ㄹ": "l", "ㅁ": "m", "ㅂ": "p", "ㅇ": "ng"}
-PLAIN_STOP = {"ㄱ": "ㄱㅋㄲ", "ㄷ": "ㄷㅅㅆㅈㅊㅌㅎ", "ㅂ": "ㅂㅍ"}
+PLAIN_STOP = {"ㄱ": "ㄱ", "ㅋ": "ㄱ", "ㄲ": "ㄱ", "ㄷ": "ㄷ", "ㅅ": "ㄷ", "ㅆ": "ㄷ", "ㅈ": "ㄷ", "ㅊ": "ㄷ", "ㅌ": "ㄷ", "ㅎ": "ㄷ", "ㅂ": "ㅂ", "ㅍ": "ㅂ"}
 CLUSTER = {"ㄳ": "ㄱㅅ", "ㄵ": "ㄴㅈ", "ㄶ": "ㄴㅎ", "ㄺ": "ㄹㄱ", "ㄻ": "ㄹㅁ", "ㄼ": "ㄹㅂ", "ㄽ": "ㄹㅅ", "ㄾ": "ㄹㅌ", "ㄿ": "ㄹㅍ", "ㅀ": "ㄹㅎ", "ㅄ": "ㅂㅅ"}
 KEPT_OF_CLUSTER = {"ㄺ": "ㄱ", "ㄻ": "ㅁ", "ㄿ": "ㅂ"}  # the second letter stays; of all others the first
 TENSE = {"ㄱ": "ㄲ", "ㄷ": "ㄸ", "ㅂ": "ㅃ", "ㅅ": "ㅆ", "ㅈ": "ㅉ"}
@@ -31,22 +33,27 @@ ASPIRATED = {"ㄱ": "ㅋ", "ㄷ": "ㅌ", "ㅂ": "ㅍ", "ㅈ": "ㅊ", "ㅅ": "ㅆ
 NASAL = {"ㄱ": "ㅇ", "ㄷ": "ㄴ", "ㅂ": "ㅁ"}
 STEM_TAGS, ENDING_TAGS = ["VV", "VA", "VX", "VCP", "VCN"], ["EC", "EP", "EF", "ETM", "ETN", "EG"]
 STEM_CODAS, STEM_ONSETS = "ㄴㅁㄵㄻㄼㄾ", "ㄱㄷㅅㅈ"
-PUNCTUATION = ".,?!~…\"'`()[]{}<>《》「」『』·:;/\\-–—"
 PLACEHOLDER = "∅"
 #: Rules in their order; each can be switched off.
 RULES = ("aspiration", "h_deletion", "palatalization", "liaison", "neutralize", "cluster", "nasal_assim", "fortis", "stem_fortis")
-_CONSONANT_IPA = "G:k KK:k{t} N:n D:t TT:t{t} R:ɾ M:m B:p PP:p{t} S:s SS:s{t} J:tɕ JJ:tɕ{t} CH:tɕʰ K:kʰ T:tʰ P:pʰ H:h NG:ŋ k:k̚ n:n t:t̚ l:l m:m p:p̚ ng:ŋ L:l"
-_VOWEL_IPA = "A:a AE:ɛ YA:ja YAE:jɛ EO:ʌ E:e YEO:jʌ YE:je O:o WA:wa WAE:wɛ OE:we YO:jo U:u WO:wʌ WE:we WI:wi YU:ju EU:ɯ UI:ɰi I:i"
+CONSONANT_IPA = {
+    "G": "k", "KK": "k{t}", "N": "n", "D": "t", "TT": "t{t}", "R": "ɾ", "M": "m", "B": "p", "PP": "p{t}", "S": "s", "SS": "s{t}", "J": "tɕ", "JJ": "tɕ{t}",
+    "CH": "tɕʰ", "K": "kʰ", "T": "tʰ", "P": "pʰ", "H": "h", "NG": "ŋ", "k": "k̚", "n": "n", "t": "t̚", "l": "l", "m": "m", "p": "p̚", "ng": "ŋ", "L": "l",
+}
+VOWEL_IPA = {
+    "A": "a", "AE": "ɛ", "YA": "ja", "YAE": "jɛ", "EO": "ʌ", "E": "e", "YEO": "jʌ", "YE": "je", "O": "o", "WA": "wa", "WAE": "wɛ", "OE": "we", "YO": "jo", "U": "u", "WO": "wʌ",
+    "WE": "we", "WI": "wi", "YU": "ju", "EU": "ɯ", "UI": "ɰi", "I": "i",
+}
 
 
 def ipa_map(tense: str = "*") -> dict[str, str]:
     """Romanized sound to IPA; ``tense`` is the mark of tense consonants."""
-    return dict(x.split(":") for x in f"{_CONSONANT_IPA} {_VOWEL_IPA}".replace("{t}", tense).split())
+    return {k: v.replace("{t}", tense) for k, v in {**CONSONANT_IPA, **VOWEL_IPA}.items()}
 
 
 def stop_of(coda: str) -> str:
     """The plain stop as which a single coda is spoken, else the coda itself."""
-    return next((stop for stop, all_ in PLAIN_STOP.items() if coda and coda in all_), coda)
+    return PLAIN_STOP.get(coda, coda)
 
 
 def spoken_coda(coda: str, on: frozenset[str]) -> str:
@@ -186,12 +193,121 @@ def stem_gaps(word_codes: Column, morphs: Column) -> Column:
     return F.aggregate(parts, start, step, lambda acc: F.when(acc["pos"] == F.size(word_codes), acc["gaps"]).otherwise(none))
 
 
+SPOKEN_SCHEMA = "form_roman string, pron_pred_hangul string, pron_pred_roman string, pron_pred_ipa string"
+_STEM = re.compile(r"(?s)^(.*)/([^/]*)$")
+_NOT_SPOKEN = re.compile("[^가-힣]")
+_MARKS = re.compile(r"""[.,?!~…"'`()\[\]{}<>《》「」『』·:;/\\–—\s-]""")
+#: Words that a worker remembers; beyond it the memory starts anew.
+MEMORY = 200_000
+
+
+class Speaker:
+    """Words as spoken, by the same tables as the column functions. Texts repeat their words, so each distinct pair of a word and its
+    analysis is spoken once per worker and looked up from then on; the memory is bounded and never travels."""
+
+    def __init__(self, on: frozenset[str], tense: str, ipa_sound: str):
+        self.on, self.tense, self.ipa_sound = on, tense, ipa_sound
+        self.table, self.last = boundary_table(on)
+        ipa = ipa_map(tense)
+        names = lambda xs: [ipa.get(x, f"⟨{x}⟩") if x else "" for x in xs]
+        spoken = [CODA_SPOKEN.get(c, "") for c in _letters()]
+        self.spelled = (ONSET_ROMAN, VOWEL_ROMAN, CODA_SPELLED)
+        self.roman = (ONSET_ROMAN, VOWEL_ROMAN, spoken)
+        self.ipa = (names(ONSET_ROMAN), names(VOWEL_ROMAN), names(spoken))
+        self.stems = {_letters().index(c) for c in STEM_CODAS}
+        self.soft = {ONSETS.index(o) for o in STEM_ONSETS}
+        self.memory: dict[tuple, tuple[str, str, str, str]] = {}
+
+    def __reduce__(self):
+        return Speaker, (self.on, self.tense, self.ipa_sound)
+
+    def gaps(self, codes: list[int], morphs: tuple[str, ...]) -> set[int]:
+        """`stem_gaps` of one word."""
+        found, pos, before = set(), 0, None
+        for m in morphs:
+            cut = _STEM.match(m)
+            own = [ord(ch) - 44032 for ch in _NOT_SPOKEN.sub("", cut[1])] if cut else []
+            tag = cut[2] if cut else ""
+            if before and own and before[1] in STEM_TAGS and tag in ENDING_TAGS and before[0] % 28 in self.stems and own[0] // 588 in self.soft:
+                found.add(pos - 1)
+            pos += len(own)
+            before = (own[-1], tag) if own else None
+        return found if pos == len(codes) else set()
+
+    def word(self, word: str, morphs: tuple[str, ...] | None) -> tuple[str, str, str, str]:
+        key = (word, morphs)
+        out = self.memory.get(key)
+        if out is None:
+            if len(self.memory) >= MEMORY:
+                self.memory.clear()
+            self.memory[key] = out = self.speak(word, morphs)
+        return out
+
+    def speak(self, word: str, morphs: tuple[str, ...] | None) -> tuple[str, str, str, str]:
+        bare = _MARKS.sub("", word)
+        if not bare or _NOT_SPOKEN.search(bare):
+            return (PLACEHOLDER,) * 4
+        codes = [ord(ch) - 44032 for ch in _NOT_SPOKEN.sub("", word)]
+        gaps = self.gaps(codes, morphs) if morphs is not None else ()
+        onset, spoken = codes[0] // 588, []
+        for i, s in enumerate(codes):
+            if i + 1 < len(codes):
+                after = codes[i + 1]
+                cell = self.table[((s % 28 * 19 + after // 588) * 2 + (after % 588 // 28 == 20)) * 2 + (i in gaps)]
+                coda, following = divmod(cell, 19)
+            else:
+                coda, following = self.last[s % 28], 0
+            spoken.append((onset, s % 588 // 28, coda))
+            onset = following
+        spelled = [(s // 588, s % 588 // 28, s % 28) for s in codes]
+        write = lambda parts, names, sound, syllable: syllable.join(sound.join(x for x in (names[0][o], names[1][v], names[2][c]) if x) for o, v, c in parts)
+        return (
+            write(spelled, self.spelled, " ", " _ "),
+            "".join(chr(44032 + o * 588 + v * 28 + c) for o, v, c in spoken),
+            write(spoken, self.roman, " ", " _ "),
+            write(spoken, self.ipa, self.ipa_sound, "_"),
+        )
+
+    def utterance(self, words: list[str], analysis: list[list[str]] | None) -> tuple[str, str, str, str]:
+        said = [self.word(w, tuple(analysis[i]) if analysis is not None else None) for i, w in enumerate(words)]
+        roman, hangul, pron, ipa = zip(*said, strict=True) if said else ((), (), (), ())
+        return " | ".join(roman), " ".join(hangul), " | ".join(pron), " | ".join(ipa)
+
+
 def with_pronunciation(df: DataFrame, form: str = "form", tagged: str | None = "tagged", rules: tuple[str, ...] = RULES, tense: str = "*", ipa_sound: str = "") -> DataFrame:
     """Adds n_eojeol, form_roman, pron_pred_hangul, pron_pred_roman, pron_pred_ipa and align_warn.
 
     Words that aren't Hangul give ``∅``. The analysis is used only if it has as many words as the form; else align_warn says so. A null
-    or blank form gives empty texts and 0 words.
+    or blank form gives empty texts and 0 words. Words are cut on the JVM; their sounds come from one Arrow function with a memory of
+    words (`Speaker`), without a shuffle. `with_pronunciation_columns` does the same by column expressions alone, for short tables.
     """
+    speaker = Speaker(frozenset(rules), tense, ipa_sound)
+
+    @F.arrow_udf(SPOKEN_SCHEMA)
+    def spoken(words: pa.Array, analysis: pa.Array) -> pa.Array:
+        said = [speaker.utterance(w or [], a) for w, a in zip(words.to_pylist(), analysis.to_pylist(), strict=True)]
+        cols = list(zip(*said, strict=True)) if said else [()] * 4
+        return pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in cols], names=_names(SPOKEN_SCHEMA))
+
+    if tagged:
+        df = packed_tagged(df, tagged, "_tagged")
+    else:
+        df = df.withColumn("_tagged", F.lit(None).cast("array<array<string>>"))
+    df = df.withColumn("_words", split_ws(form))
+    n, m = F.size("_words"), F.coalesce(F.size("_tagged"), F.lit(0))
+    used = F.when((n == m) & F.lit("stem_fortis" in rules), F.col("_tagged"))
+    df = df.withColumn("n_eojeol", n).withColumn("_said", spoken(F.col("_words"), used))
+    df = df.withColumn("align_warn", F.when((m > 0) & (m != n), F.format_string("eojeol_tag_mismatch(%d!=%d)", n, m)).otherwise(""))
+    keep = [c for c in df.columns if c not in ("_tagged", "_words", "_said", "align_warn", *_names(SPOKEN_SCHEMA))]
+    return df.select(*keep, *[F.col(f"_said.{c}").alias(c) for c in _names(SPOKEN_SCHEMA)], "align_warn")
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def with_pronunciation_columns(df: DataFrame, form: str = "form", tagged: str | None = "tagged", rules: tuple[str, ...] = RULES, tense: str = "*", ipa_sound: str = "") -> DataFrame:
+    """`with_pronunciation` by column expressions alone."""
     on = frozenset(rules)
     if tagged:
         df = packed_tagged(df, tagged, "_tagged")

@@ -24,10 +24,15 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
 
 
-def join_with_defaults(left: DataFrame, right: DataFrame, keys: list[str], defaults: dict[str, object]) -> DataFrame:
-    """Left outer join to a table of one row per key; a miss and an empty text both give the default. Adds nothing else, never fans out."""
-    j = left.join(right.select(*keys, *defaults), keys, "left")
-    fill = lambda c, d: F.coalesce(F.when(F.col(c).cast("string") != "", F.col(c)), F.lit(d)).alias(c)
+def join_with_defaults(left: DataFrame, right: DataFrame, keys: list[str], defaults: dict[str, object], blank_is_missing: bool = True) -> DataFrame:
+    """Left outer join to a table of one row per key. A miss gives the default; so does an empty text, unless blanks are kept (a null
+    is then ''). Adds nothing else, never fans out."""
+    if blank_is_missing:
+        j = left.join(right.select(*keys, *defaults), keys, "left")
+        fill = lambda c, d: F.coalesce(F.when(F.col(c).cast("string") != "", F.col(c)), F.lit(d)).alias(c)
+    else:
+        j = left.join(right.select(*keys, *[F.coalesce(c, F.lit("")).alias(c) for c in defaults]), keys, "left")
+        fill = lambda c, d: F.coalesce(F.col(c), F.lit(d)).alias(c)
     return j.select(*left.columns, *[fill(c, d) for c, d in defaults.items()])
 
 
@@ -43,8 +48,9 @@ def or_unknown(c: Column | str) -> Column:
 
 
 def age_group(c: Column | str) -> Column:
+    """The sixties are named like the open class above them; all other classes stay."""
     v = or_unknown(c)
-    return F.when(v.isin("60대", "70대", "80대", "90대"), "60대 이상").otherwise(v)
+    return F.when(v == "60대", "60대 이상").otherwise(v)
 
 
 def occupation(c: Column | str) -> Column:
@@ -77,4 +83,4 @@ def register(c: Column | str) -> Column:
 def discourse_mode(c: Column | str) -> Column:
     """From the last part of the category: 독백, 대화 or ``미상``."""
     leaf = F.element_at(F.split(category(c), " > "), -1)
-    return F.when(leaf == "", UNKNOWN).when(leaf.contains("독백"), "독백").otherwise("대화")
+    return F.when(leaf == "", UNKNOWN).when(leaf == "독백", "독백").otherwise("대화")

@@ -4,39 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
-def frequency(df: DataFrame, keys: list[str], name: str = "freq") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias(name))
+def _n(weight: str | None) -> Column:
+    """How often a row counts: once, or as often as a column of counts says."""
+    return F.col(weight) if weight else F.lit(1).cast("bigint")
 
 
-def pivot_frequency(df: DataFrame, keys: list[str], by: str, values: list[str], prefix: str = "freq_") -> DataFrame:
+def frequency(df: DataFrame, keys: list[str], name: str = "freq", weight: str | None = None) -> DataFrame:
+    return df.groupBy(*keys).agg(F.sum(_n(weight)).alias(name))
+
+
+def pivot_frequency(df: DataFrame, keys: list[str], by: str, values: list[str], prefix: str = "freq_", weight: str | None = None, *extra: Column) -> DataFrame:
     """One column per listed value and the total of all; the values are given, so there is one pass and no pivot job."""
-    return df.groupBy(*keys).agg(*[F.count_if(F.col(by) == v).alias(f"{prefix}{v}") for v in values], F.count("*").alias(f"{prefix}total"))
+    n = _n(weight)
+    return df.groupBy(*keys).agg(*[F.sum(F.when(F.col(by) == v, n).otherwise(0)).alias(f"{prefix}{v}") for v in values], F.sum(n).alias(f"{prefix}total"), *extra)
 
 
-def top_value(df: DataFrame, keys: list[str], value: str, name: str = "top") -> DataFrame:
+def top_value(df: DataFrame, keys: list[str], value: str, name: str = "top", weight: str | None = None) -> DataFrame:
     """The most frequent value per key with its count; ties go to the smaller value."""
-    n = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    n = df.groupBy(*keys, value).agg(F.sum(_n(weight)).alias("n"))
     best = F.min_by(F.struct(value, "n"), F.struct(-F.col("n"), F.col(value))).alias("b")
     return n.groupBy(*keys).agg(best).select(*keys, F.col(f"b.{value}").alias(name), F.col("b.n").alias("n"))
 
 
-def stratified(df: DataFrame, keys: list[str], dims: dict[str, Column]) -> DataFrame:
-    """(keys, dim, stratum, freq, per_million) over several dimensions in one pass: each row is counted once per dimension.
-
-    The totals of the strata come from the counts, not from the rows again.
+def stratified(df: DataFrame, keys: list[str], dims: dict[str, Column], weight: str | None = None) -> DataFrame:
+    """(keys, dim, stratum, freq, per_million) over several dimensions in one pass: each row is counted once per dimension, or as often
+    as ``weight`` says. The totals of the strata come from the counts, not from the rows again.
     """
-    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), c.alias("stratum")) for d, c in dims.items()])).alias("s")).select(*keys, "s.*")
-    counts = long.groupBy(*keys, "dim", "stratum").agg(F.count("*").alias("freq"))
+    long = df.select(*keys, _n(weight).alias("_n"), F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), c.alias("stratum")) for d, c in dims.items()])).alias("s")).select(*keys, "_n", "s.*")
+    counts = long.groupBy(*keys, "dim", "stratum").agg(F.sum("_n").alias("freq"))
     totals = counts.groupBy("dim", "stratum").agg(F.sum("freq").alias("tokens"))
     return counts.join(totals, ["dim", "stratum"]).select(*keys, "dim", "stratum", "freq", (F.col("freq") / F.col("tokens") * 1e6).alias("per_million"))
 
 
-def strata_totals(df: DataFrame, dims: dict[str, Column]) -> DataFrame:
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), c.alias("stratum")) for d, c in dims.items()])).alias("s")).select("s.*")
-    return long.groupBy("dim", "stratum").agg(F.count("*").alias("tokens"))
+def strata_totals(df: DataFrame, dims: dict[str, Column], weight: str | None = None) -> DataFrame:
+    long = df.select(_n(weight).alias("_n"), F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), c.alias("stratum")) for d, c in dims.items()])).alias("s")).select("_n", "s.*")
+    return long.groupBy("dim", "stratum").agg(F.sum("_n").alias("tokens"))
 
 
 def dispersion(df: DataFrame, keys: list[str], doc: str) -> DataFrame:
@@ -45,7 +49,13 @@ def dispersion(df: DataFrame, keys: list[str], doc: str) -> DataFrame:
 
 
 def with_share(df: DataFrame, n: str, by: list[str] | None = None, name: str = "share") -> DataFrame:
-    return df.withColumn(name, F.col(n) / F.sum(n).over(Window.partitionBy(*(by or []))))
+    """Adds each row's share of the sum of its group, or of all rows. Sums are aggregated and joined back, so no group is collected in one
+    task; null keys form a group of their own."""
+    by = by or []
+    sums = df.groupBy(*[F.col(b).alias(f"_g_{b}") for b in by]).agg(F.sum(n).alias("_sum"))
+    on = [F.col(b).eqNullSafe(F.col(f"_g_{b}")) for b in by]
+    j = df.join(sums, on, "left") if by else df.join(F.broadcast(sums))  # one row
+    return j.withColumn(name, F.col(n) / F.col("_sum")).select(*df.columns, name)
 
 
 def norm_table(norms: DataFrame, sources: list[str], main: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from utterlake.operators.intervals import prefix_scan
 from utterlake.operators.tokens import session_of
 
 
@@ -16,11 +17,12 @@ def regex_search(df: DataFrame, column: str, pattern: str, **equal: object) -> D
     return df.where(F.col(column).rlike(pattern))
 
 
-def context(df: DataFrame, hit: Column, key: str, order: list[str], n: int) -> DataFrame:
-    """Rows within n places of a hit in their session, clipped at its ends. One sort, no self join."""
-    w = Window.partitionBy(key).orderBy(*order)
-    near = F.max(hit.cast("int")).over(w.rowsBetween(-n, n)) == 1
-    return df.withColumn("is_hit", hit).withColumn("position", F.row_number().over(w)).withColumn("_near", near).where("_near").drop("_near")
+def context(df: DataFrame, hit: Column, key: str, order: list[str], n: int, block: Column | None = None) -> DataFrame:
+    """Rows within n places of a hit in their session, clipped at its ends. Places are counted in blocks (`intervals.prefix_scan`); each
+    hit names its 2 n + 1 places, and an equi-join on session and place finds them, so a long session isn't one task."""
+    placed = prefix_scan(df.withColumn("is_hit", hit), [key], order, block, position="position")
+    near = placed.where("is_hit").select(F.col(key).alias("_key"), F.explode(F.sequence(F.col("position") - n, F.col("position") + n)).alias("_at")).distinct()
+    return placed.join(near, F.col(key).eqNullSafe(F.col("_key")) & (F.col("position") == F.col("_at")), "left_semi")
 
 
 def by_hitlist(df: DataFrame, hits: DataFrame) -> DataFrame:

@@ -23,6 +23,29 @@ def sense_distribution(norms: DataFrame) -> DataFrame:
     return per.groupBy("word", "pos").agg(top("sx").alias("sx_sense"), share("sx").alias("sx_share"), top("al").alias("all_sense"), share("al").alias("all_share"))
 
 
+def sense_counts(norms: DataFrame) -> DataFrame:
+    """norms (word, pos, sense_id, corpus_type, freq text) to (word, pos, sense_id, spoken, total): the counts of the corpus type SXLS and of
+    all; the same rows are left out as in `sense_distribution`."""
+    n = norms.where(~F.coalesce("word", F.lit("")).isin("", "[]") & ~F.coalesce("sense_id", F.lit("")).isin("", "[]", "None")).withColumn("f", F.col("freq").try_cast("bigint")).where("f is not null")
+    return n.groupBy("word", "pos", "sense_id").agg(F.sum(F.when(F.col("corpus_type") == "SXLS", F.col("f")).otherwise(0)).alias("spoken"), F.sum("f").alias("total"))
+
+
+def decide_keys(lexicon: DataFrame, distribution: DataFrame) -> DataFrame:
+    """The decision for every (morph, tag) that the lexicon (`lexicon_senses`) or the norms (`sense_distribution`) know: morph, tag, senses,
+    sense_id, confidence, method, candidates. As small as they are, so tokens never have to be cut to types for it."""
+    key = [F.col("word").alias("morph"), F.col("pos").alias("tag")]
+    d = lexicon.select(*key, "senses").join(distribution.select(*key, "sx_sense", "sx_share", "all_sense", "all_share"), ["morph", "tag"], "full")
+    return d.select("morph", "tag", "senses", "all_sense", "all_share", decide(F.col("tag"), F.col("senses"), F.col("sx_sense"), F.col("sx_share"), F.col("all_sense"), F.col("all_share")).alias("d")).select("morph", "tag", "senses", "all_sense", "all_share", "d.*")
+
+
+def with_decision(df: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Adds the decision of `decide_keys` to rows with (morph, tag); what no key knows is not_target or not_found."""
+    j = df.join(decisions.withColumnRenamed("method", "_method"), ["morph", "tag"], "left")
+    method = F.coalesce("_method", F.when(not_target(F.col("tag")), "not_target").otherwise("not_found"))
+    blank = {c: F.coalesce(c, F.lit("")) for c in ("sense_id", "candidates")}
+    return j.withColumns({**blank, "method": method}).drop("_method")
+
+
 def lexicon_senses(lexicon: DataFrame) -> DataFrame:
     """(word, pos, senses): distinct senses without leading zeros, sorted as text."""
     s = lexicon.where("word is not null and pos is not null and sense_no is not null").select("word", "pos", strip_zeros(F.col("sense_no"), "1").alias("s"))

@@ -1,11 +1,11 @@
-"""Tokens of forms and tagged strings in the plain convention."""
+"""Tokens of forms and tagged strings."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from utterlake.functions.text import col, rpartition_slash, split_ws
+from utterlake.functions.text import col, packed_tagged, rpartition_slash, split_ws
 
 
 def morph_positions(df: DataFrame, key: str = "utt_id", tagged: str = "tagged") -> DataFrame:
@@ -17,6 +17,23 @@ def morph_positions(df: DataFrame, key: str = "utt_id", tagged: str = "tagged")
     return units.select(key, "word_idx", (F.col("m") + 1).alias("morph_idx"), morph.alias("morph"), tag.alias("tag")).where("morph <> ''")
 
 
+def packed_positions(df: DataFrame, keep: list[str], tagged: str = "tagged") -> DataFrame:
+    """(keep…, word_idx, morph_idx, morph, tag) of a tagged field in any of its conventions: one generator over the flattened words, so
+    a row is walked once. Positions count eojeols and morphs that aren't empty, from 1. Null and blank fields give no rows."""
+    words = packed_tagged(df.select(*keep, tagged), tagged, "_words")
+    rows = F.flatten(F.transform("_words", lambda w, i: F.transform(w, lambda v, j: F.struct((i + 1).cast("int").alias("word_idx"), (j + 1).cast("int").alias("morph_idx"), v.alias("_v")))))
+    morph, tag = rpartition_slash("_v")
+    return words.select(*keep, F.inline(rows)).select(*keep, "word_idx", "morph_idx", morph.alias("morph"), tag.alias("tag"))
+
+
+def packed_pairs(df: DataFrame, form: str = "form", tagged: str = "tagged", keep: list[str] | None = None) -> DataFrame:
+    """(keep…, surface, analysis) of records whose form has as many words as their analysis, in any of its conventions; an analysis is written
+    ``m/TAG+m/TAG``."""
+    pairs = packed_tagged(df.select(*(keep or []), form, tagged), tagged, "_words").withColumn("_f", split_ws(form)).where((F.size("_words") > 0) & (F.size("_f") == F.size("_words")))
+    plain = F.transform("_words", lambda w: F.array_join(w, "+"))
+    return pairs.select(*(keep or []), F.inline(F.arrays_zip(F.col("_f").alias("surface"), plain.alias("analysis"))))
+
+
 def eojeol_pairs(df: DataFrame, form: str = "form", tagged: str = "tagged") -> DataFrame:
     """(surface, analysis) of records whose form has as many words as their analysis."""
     pairs = df.where(F.coalesce(tagged, F.lit("")) != "").withColumn("_f", split_ws(form)).withColumn("_t", F.split(tagged, "[ ]"))
@@ -44,6 +61,13 @@ def tagged_to_lab(tagged: Column | str) -> Column:
     return F.array_join(F.filter(F.transform(F.split(F.coalesce(col(tagged), F.lit("")), "[ ]"), word), lambda w: w != ""), " ")
 
 
+def packed_lab(words: Column) -> Column:
+    """`tagged_to_lab` of words already split into ``morph/TAG`` values."""
+    morph, tag = (lambda v: rpartition_slash(v)[0]), (lambda v: rpartition_slash(v)[1])
+    word = lambda w: F.array_join(F.transform(F.filter(w, lambda v: ~tag(v).startswith("S")), morph), "")
+    return F.array_join(F.filter(F.transform(words, word), lambda w: w != ""), " ")
+
+
 def session_of(utt_id: Column | str) -> Column:
     return F.substring_index(col(utt_id), ".", 1)
 

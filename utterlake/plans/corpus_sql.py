@@ -1,13 +1,9 @@
 """SQL of the queries in `corpus`."""
 
-from utterlake.plans.sql import GOLD, ROMAN, TAGGED, arr, word_ids
+from utterlake.plans.sql import GOLD, ROMAN, TAGGED, arr, resolved, word_ids
 
-_LABEL = "regexp_replace(upper(translate(coalesce(speaker_id, ''), '０１２３４５６７８９ＳＤＰＫ', '0123456789SDPK')), '[^0-9A-Z가-힣]+', '', 'g')"
-_NUMBER = "try_cast(nullif(regexp_extract(label, '^(?:화자|SPK|P)?0*([1-9][0-9]{0,3})$', 1), '') AS INT)"
 #: Utterances with their resolved speaker: utt_id, session_id, year, speaker, t0.
-SPOKEN = f"""ids AS (SELECT file_id, max(speaker_ids) AS speaker_ids FROM file_meta GROUP BY 1),
-lab AS (SELECT utt_id, session_id, year, loaded_at AS t0, {_LABEL} AS label FROM search_master WHERE utt_id IS NOT NULL),
-spoken AS (SELECT utt_id, session_id, year, t0, CASE WHEN {_NUMBER} IS NULL THEN label ELSE coalesce(nullif(trim(string_split(speaker_ids, '|')[{_NUMBER}]), ''), '#' || {_NUMBER}) END AS speaker FROM lab LEFT JOIN ids ON ids.file_id = session_id)"""
+SPOKEN = f"""sm0 AS (SELECT utt_id, session_id, year, loaded_at AS t0, speaker_id FROM search_master WHERE utt_id IS NOT NULL), {resolved('sm0', 'spoken', 'session_id')}"""
 _REPORT = f"""{SPOKEN},
 utt AS (SELECT utt_id, any_value(year) AS year, any_value(session_id) AS session_id, any_value(speaker) AS speaker, min(t0) AS t0 FROM spoken GROUP BY 1),
 ref AS (SELECT 'speaker_id' AS ref_field, utt_id AS row_key, year, year || '|' || speaker AS key, t0 FROM utt WHERE speaker <> '' AND speaker NOT LIKE '#%'

@@ -9,72 +9,99 @@ from pyspark.sql.window import Window
 from utterlake.catalog import Catalog
 from utterlake.functions.hangul import CODAS, ONSETS, boundary_table, compose_codes, romanized, to_ipa, ipa_map, with_pronunciation
 from utterlake.functions.speakers import micros
-from utterlake.functions.text import INVISIBLE, nfc, split_ws, tagged_morphs
+from utterlake.functions.hangul import syllable_codes
+from utterlake.functions.speakers import with_speaker
+from utterlake.functions.text import INVISIBLE, nfc, packed_tagged, rpartition_slash, split_ws
 from utterlake.operators import coverage, dims, freq, intervals, search, tokens
-from utterlake.plans.frequency import morph_positions, utterances
+from utterlake.plans.frequency import live, morph_positions, utterances
 from utterlake.sources import textgrid
 
-META = {c: dims.UNKNOWN for c in ("category_norm", "discourse_mode", "topic", "relation", "date")}
-SPEAKER = {c: dims.UNKNOWN for c in ("sex_norm", "age_norm", "occupation_norm", "birthplace_norm", "current_residence_norm")}
+META = {c: dims.UNKNOWN for c in ("category_norm", "discourse_mode", "topic", "relation", "date", "in_ml2025_gold")}
+SPEAKER = {c: dims.UNKNOWN for c in ("sex_norm", "age_norm", "occupation_norm", "education_ord", "birthplace_norm", "current_residence_norm")}
+EXTRA = {"original_form": dims.UNKNOWN, "start": "", "end_sec": "", "note": dims.UNKNOWN}
+COVERAGE = {"has_wav": "0", "has_tg_eojeol": "0", "quarantined": ""}
+#: Utterance numbers and microseconds of a session in one block of the session's order.
+BLOCK, BLOCK_US = 512, 600_000_000
 
 
 def _t(spark: SparkSession, root: str) -> Catalog:
     return Catalog(spark, root)
 
 
+def _normalized_form(df: DataFrame) -> DataFrame:
+    return df.withColumn("form", nfc(F.regexp_replace(F.coalesce("form", F.lit("")), f"[{INVISIBLE}]+", "")))
+
+
+def _coverage(spark, root) -> DataFrame:
+    """(utt_id, has_wav, has_tg_eojeol, quarantined): what the inventory lists, beside the last word of the search master on the rest."""
+    t = _t(spark, root)
+    noted = dims.last_wins(t.search_master.where("utt_id is not null").select("utt_id", "has_wav", "quarantined", "loaded_at"), ["utt_id"], ["loaded_at", "has_wav", "quarantined"]).drop("loaded_at")
+    listed = coverage.with_presence(noted, "utt_id", grid=_inventory(spark, root).where("ext = 'textgrid'"))
+    return listed.withColumn("has_tg_eojeol", F.when(F.col("grid"), "1").otherwise("0")).drop("grid")
+
+
 def master(spark, root) -> DataFrame:
-    """One row per utterance with the metadata of its file and speaker and the extras of its transcript; misses get ``미상``.
+    """One row per utterance with the metadata of its file and speaker, the extras of its transcript and its coverage; a miss gives
+    ``미상`` (times '', flags 0), a blank stays blank.
 
-    Every dimension is cut to one row per key first, so nothing fans out; the joins are plain equi-joins whose strategy the engine
-    picks by size.
+    The speaker is met by the id that the label stands for. Every dimension is cut to the last live row of a key first, so nothing fans
+    out; the joins are plain equi-joins whose strategy the engine picks by size.
     """
     t = _t(spark, root)
     u = utterances(spark, root).withColumn("session_id", tokens.session_of("utt_id")).withColumn("utt_seq", tokens.sequence_of("utt_id")).withColumn("year", tokens.year_of("utt_id"))
-    meta = dims.last_wins(t.file_meta.select(F.col("file_id").alias("session_id"), *META, "loaded_at", "doc_id"), ["session_id"], ["loaded_at", "doc_id"])
-    spk = dims.last_wins(t.speakers_normalized.select("year", F.col("id").alias("speaker_id"), *SPEAKER, "loaded_at"), ["year", "speaker_id"], ["loaded_at"])
-    extra = t.dialogue_json.where("utt_id is not null").groupBy("utt_id").agg(F.max("original_form").alias("original_form"), F.max("start").alias("start"), F.max("end_sec").alias("end_sec"), F.max("note").alias("note"))
-    m = dims.join_with_defaults(u, meta, ["session_id"], META)
-    m = dims.join_with_defaults(m, spk, ["year", "speaker_id"], SPEAKER)
-    m = dims.join_with_defaults(m, extra, ["utt_id"], {c: "" for c in ("original_form", "start", "end_sec", "note")})
-    sec = lambda c: micros(c)
-    return m.withColumn("dur", (sec("end_sec") - sec("start")) / 1e6).withColumn("n_eojeol", F.size(split_ws("form")).cast("bigint"))
+    u = with_speaker(u, t.file_meta, to="_who")
+    meta = dims.last_wins(live(t.file_meta).select(F.col("file_id").alias("session_id"), *META, "loaded_at", "doc_id"), ["session_id"], ["loaded_at", "doc_id", *META])
+    spk = dims.last_wins(live(t.speakers_normalized).select("year", F.col("id").alias("_who"), *SPEAKER, "loaded_at"), ["year", "_who"], ["loaded_at", *SPEAKER])
+    extra = dims.last_wins(t.dialogue_json.where("utt_id is not null").select("utt_id", *EXTRA, "loaded_at"), ["utt_id"], ["loaded_at", *EXTRA])
+    m = dims.join_with_defaults(u, meta, ["session_id"], META, blank_is_missing=False)
+    m = dims.join_with_defaults(m, spk, ["year", "_who"], SPEAKER, blank_is_missing=False).drop("_who")
+    m = dims.join_with_defaults(m, extra, ["utt_id"], EXTRA, blank_is_missing=False)
+    m = dims.join_with_defaults(m, _coverage(spark, root), ["utt_id"], COVERAGE, blank_is_missing=False)
+    return m.withColumn("dur", F.round((micros("end_sec") - micros("start")) / 1e6, 3)).withColumn("n_eojeol", F.size(split_ws("form")).cast("bigint"))
 
 
 def master_checks(spark, root):
-    """The invariants of a build in one row: rows, misses of each join, words that don't match their analysis."""
+    """The invariants of a build in one row: rows, misses of each join, warnings of the alignment, words that don't match their analysis."""
     u = utterances(spark, root)
-    pieces = F.size(F.split("tagged", "[ ]"))
-    m = master(spark, root)
-    n = m.agg(F.count("*").alias("n_rows"), F.count_if(F.col("category_norm") == dims.UNKNOWN).alias("no_meta"), F.count_if(F.col("sex_norm") == dims.UNKNOWN).alias("no_speaker"), F.count_if(F.col("dur").isNull()).alias("no_duration"), F.count_if((F.coalesce("tagged", F.lit("")) != "") & (F.col("n_eojeol") != pieces)).alias("word_mismatches"))
-    return n.join(u.agg(F.count("*").alias("n_utterances")))
+    m = packed_tagged(master(spark, root), "tagged", "_words")
+    n = m.agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("category_norm") == dims.UNKNOWN).alias("no_meta"), F.count_if(F.col("sex_norm") == dims.UNKNOWN).alias("no_speaker"),
+        F.count_if(F.col("original_form") == dims.UNKNOWN).alias("no_transcript"), F.count_if(F.col("dur").isNull()).alias("no_duration"),
+        F.count_if((F.size("_words") > 0) & (F.col("n_eojeol") != F.size("_words"))).alias("word_mismatches"),
+    )
+    return n.join(F.broadcast(u.agg(F.count("*").alias("n_utterances"))))  # one row each
 
 
-def flagship(spark, root):
-    """The search master with predicted pronunciation."""
-    m = master(spark, root)
-    m = m.withColumn("form", nfc(F.regexp_replace(F.coalesce("form", F.lit("")), f"[{INVISIBLE}]+", "")))
-    return with_pronunciation(m.drop("n_eojeol"))
+def flagship(spark, root, tagged_roman: bool = False):
+    """The search master with predicted pronunciation and, if asked, the romanized analysis."""
+    m = with_pronunciation(_normalized_form(master(spark, root)).drop("n_eojeol"))
+    if not tagged_roman:
+        return m
+    words = lambda w: F.array_join(F.transform(w, _unit_roman), " + ")
+    return packed_tagged(m, "tagged", "_words").withColumn("tagged_roman", F.array_join(F.transform("_words", words), " | ")).drop("_words")
 
 
 def pronunciation(spark, root):
-    u = utterances(spark, root).select("utt_id", nfc(F.regexp_replace(F.coalesce("form", F.lit("")), f"[{INVISIBLE}]+", "")).alias("form"), "tagged")
-    return with_pronunciation(u).drop("form", "tagged")
+    return with_pronunciation(_normalized_form(utterances(spark, root).select("utt_id", "form", "tagged"))).drop("form", "tagged")
 
 
 def spelled_roman(spark, root):
     """Romanized spelling of every utterance of the search master."""
-    u = _t(spark, root).search_master.where("utt_id is not null").groupBy("utt_id").agg(F.max("form").alias("form"))
-    u = u.select("utt_id", nfc(F.regexp_replace(F.coalesce("form", F.lit("")), f"[{INVISIBLE}]+", "")).alias("form"))
+    u = _normalized_form(_t(spark, root).search_master.where("utt_id is not null").groupBy("utt_id").agg(F.max("form").alias("form")))
     return with_pronunciation(u, tagged=None).select("utt_id", "form_roman")
 
 
-def tagged_roman(spark, root):
-    """Romanized morphs in four levels: sounds, syllables, morphs, eojeols."""
-    from utterlake.functions.hangul import syllable_codes
+def _unit_roman(unit):
+    """One morph: ``roman/TAG``; a surface that isn't Hangul throughout stays, a unit without a slash stays whole."""
+    morph, tag = rpartition_slash(unit)
+    shown = F.when(morph.rlike("^[가-힣]+$"), romanized(syllable_codes(morph), spelled=True)).when(morph != "", morph).otherwise(unit)
+    return F.when(tag != "", F.concat(shown, F.lit("/"), tag)).otherwise(shown)
+
 
-    u = utterances(spark, root).where("tagged <> ''")
-    part = lambda m: F.when(m["morph"].rlike("^[가-힣]+$"), romanized(syllable_codes(m["morph"]), spelled=True)).otherwise("∅")
-    return u.select("utt_id", F.array_join(F.transform(tagged_morphs("tagged"), lambda w: F.array_join(F.transform(w, part), " + ")), " | ").alias("tagged_roman"))
+def tagged_roman(spark, root):
+    """Romanized morphs with their tags in four levels: sounds, syllables, morphs, eojeols."""
+    u = packed_tagged(utterances(spark, root).select("utt_id", "tagged"), "tagged", "_words").where(F.size("_words") > 0)
+    return u.select("utt_id", F.array_join(F.transform("_words", lambda w: F.array_join(F.transform(w, _unit_roman), " + ")), " | ").alias("tagged_roman"))
 
 
 def g2p_boundary(spark, root):
@@ -133,8 +160,8 @@ def id_keys(spark, root):
 
 
 def labs(spark, root):
-    u = utterances(spark, root)
-    return u.select("utt_id", tokens.form_to_lab("form").alias("lab"), tokens.form_to_clean_lab("form").alias("clean_lab"), tokens.tagged_to_lab("tagged").alias("tagged_lab"))
+    u = packed_tagged(utterances(spark, root), "tagged", "_words")
+    return u.select("utt_id", tokens.form_to_lab("form").alias("lab"), tokens.form_to_clean_lab("form").alias("clean_lab"), F.coalesce(tokens.packed_lab(F.col("_words")), F.lit("")).alias("tagged_lab"))
 
 
 def _inventory(spark, root):
@@ -175,10 +202,11 @@ def length_classes(spark, root):
 
 
 def empty_analysis(spark, root):
-    """Sessions with an utterance that has a form and no analysis."""
+    """Whether a session has an utterance with a form and no analysis, how many, and how many without a form."""
     u = utterances(spark, root).withColumn("session_id", tokens.session_of("utt_id"))
-    bad = (F.trim(F.coalesce("form", F.lit(""))) != "") & (F.trim(F.coalesce("tagged", F.lit(""))) == "")
-    return u.groupBy("session_id").agg(F.bool_or(bad).alias("any_empty"), F.count_if(bad).alias("n_empty")).where("any_empty")
+    blank = F.trim(F.coalesce("form", F.lit(""))) == ""
+    bad = ~blank & (F.trim(F.coalesce("tagged", F.lit(""))) == "")
+    return u.groupBy("session_id").agg(F.bool_or(bad).alias("any_empty"), F.count_if(bad).alias("n_empty"), F.count_if(blank).alias("n_blank"))
 
 
 def _spoken(spark, root):
@@ -191,40 +219,52 @@ def _timed(spark, root):
     return _spoken(spark, root).where("b is not null and e is not null and e >= b")
 
 
+def _by_number(c: str = "num"):
+    return F.floor(F.col(c) / BLOCK)
+
+
 def session_order(spark, root):
     """Rank of each utterance as spoken and as its id is spelled."""
-    w = Window.partitionBy("session_id")
     u = _t(spark, root).search_master.select("session_id", "utt_id").where("utt_id is not null").distinct()
-    return u.select("utt_id", F.row_number().over(w.orderBy(tokens.numeric_order("utt_id"))).alias("spoken"), F.row_number().over(w.orderBy("utt_id")).alias("spelled"))
+    number = F.element_at(F.split("utt_id", r"\."), -1).try_cast("int")
+    u = u.withColumn("_order", tokens.numeric_order("utt_id")).withColumn("_parts", F.transform(F.slice("_order", 1, F.size("_order") - 1), lambda x: x))
+    # blocks of the spoken order: the parts before the number, and the number's block; of the spelled order: the beginning of the id
+    spoken = intervals.prefix_scan(u, ["session_id"], ["_order", "utt_id"], F.struct("_parts", F.floor(number / BLOCK).alias("n")), position="spoken")
+    both = intervals.prefix_scan(spoken, ["session_id"], ["utt_id"], F.substring("utt_id", 1, 21), position="spelled")
+    return both.select("utt_id", "spoken", "spelled")
 
 
 def keyword_context(spark, root):
     """Two utterances before and after each that speaks of travel."""
-    return search.context(_timed(spark, root).select("session_id", "utt_id", "num", "form"), F.coalesce(F.col("form"), F.lit("")).contains("여행"), "session_id", ["num", "utt_id"], 2)
+    u = _spoken(spark, root).select("session_id", "utt_id", "num", "form")
+    return search.context(u, F.coalesce(F.col("form"), F.lit("")).contains("여행"), "session_id", ["num", "utt_id"], 2, _by_number())
 
 
 def session_offsets(spark, root):
-    """The utterances of a session laid end to end, in microseconds."""
+    """The utterances of a session that have times laid end to end, in microseconds."""
     t = _timed(spark, root).withColumn("length", F.col("e") - F.col("b"))
-    return intervals.running_offset(t, ["session_id"], ["num", "utt_id"], "length").select("session_id", "utt_id", "offset", "until")
+    return intervals.running_offset(t, ["session_id"], ["num", "utt_id"], "length", _by_number()).select("session_id", "utt_id", "offset", "until")
+
+
+def _tier(spark, root):
+    t = _timed(spark, root)
+    return t.select("session_id", "utt_id", (F.col("b") / 1e6).alias("xmin"), (F.col("e") / 1e6).alias("xmax"), F.col("utt_id").alias("text"), F.floor(F.col("b") / BLOCK_US).alias("_at"))
 
 
 def session_tiles(spark, root):
-    t = _timed(spark, root).select("session_id", "utt_id", (F.col("b") / 1e6).alias("xmin"), (F.col("e") / 1e6).alias("xmax"))
-    return intervals.tile(t, ["session_id"], ["xmin", "xmax", "utt_id"], text="utt_id")
+    """The utterances of a session that have times as one tier without gaps."""
+    return intervals.tile(_tier(spark, root), ["session_id"], ["xmin", "xmax", "utt_id"], block=F.col("_at"))
 
 
-def tiers_normalized(spark, root):
-    """The tier of the first minute of each session, as its SQL fixes it; `tiers_whole` has whole sessions."""
-    t = _timed(spark, root).select("session_id", "utt_id", (F.col("b") / 1e6).alias("xmin"), (F.col("e") / 1e6).alias("xmax"), F.col("utt_id").alias("text"), F.lit(60.0).alias("dur"))
-    return intervals.normalize_tier(t.where("xmin < dur"), ["session_id"], ["xmin", "xmax", "utt_id"], "dur")
+def _durations(spark, root):
+    """How long each session lasts: until its greatest readable end."""
+    return _spoken(spark, root).where("e is not null").groupBy(F.col("session_id").alias("of")).agg((F.max("e") / 1e6).alias("dur"))
 
 
-def tiers_whole(spark, root):
+def tiers_normalized(spark, root):
     """The tier of each whole session, which lasts until its greatest readable end."""
-    dur = _spoken(spark, root).where("e is not null").groupBy(F.col("session_id").alias("of")).agg((F.max("e") / 1e6).alias("dur"))
-    t = _timed(spark, root).select("session_id", "utt_id", (F.col("b") / 1e6).alias("xmin"), (F.col("e") / 1e6).alias("xmax"), F.col("utt_id").alias("text"))
-    return intervals.normalize_tier(t.join(dur, F.col("session_id").eqNullSafe(F.col("of"))).drop("of"), ["session_id"], ["xmin", "xmax", "utt_id"], "dur")
+    t = _tier(spark, root).join(_durations(spark, root), F.col("session_id").eqNullSafe(F.col("of"))).drop("of")
+    return intervals.normalize_tier(t, ["session_id"], ["xmin", "xmax", "utt_id"], "dur", F.col("_at"))
 
 
 def _words(spark, root):
@@ -232,25 +272,54 @@ def _words(spark, root):
     return e.select("user_id", "event_id", "value", (F.col("us") / 1e6).alias("xmin"), (F.col("us") / 1e6 + 60.0).alias("xmax"))
 
 
+_DAY = lambda: F.floor(F.col("xmin") / 86_400)
+
+
+def _paused(spark, root):
+    return intervals.with_pause(_words(spark, root), ["user_id"], block=_DAY())
+
+
 def pauses(spark, root):
-    return intervals.with_pause(_words(spark, root), ["user_id"]).select("user_id", "event_id", F.round("gap", 3).alias("gap"), "boundary")
+    return _paused(spark, root).select("user_id", "event_id", F.round("gap", 3).alias("gap"), "boundary")
 
 
 def phrases(spark, root):
-    p = intervals.phrases(intervals.with_pause(_words(spark, root), ["user_id"]), ["user_id"])
+    p = intervals.phrases(_paused(spark, root), ["user_id"], block=_DAY())
     return p.select("user_id", F.col("ap").cast("bigint"), F.col("ip").cast("bigint"), F.round("xmin", 3).alias("xmin"), F.round("xmax", 3).alias("xmax"), "n_words")
 
 
-def boundary_tones(spark, root):
+def pitch_resets(spark, root):
+    """Boundaries where the pitch of the next event is two semitones above, among events that follow at once."""
+    e = _t(spark, root).events.select("user_id", "event_id", "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("xmin"))
+    e = intervals.prefix_scan(e, ["user_id"], ["xmin", "event_id"], _DAY(), nexts={"xmax": F.col("xmin")}).withColumn("xmax", F.coalesce("xmax", "xmin"))
+    p = intervals.with_pause(e, ["user_id"], pitch=("value", "value"), block=_DAY())
+    return p.select("user_id", "event_id", F.round("gap", 3).alias("gap"), "boundary")
+
+
+def _tones(spark, root):
+    """Samples of the last day of a user's events stand for the last stretch of pitch: the tone from its first to its last."""
     e = _t(spark, root).events.select("user_id", "ts", "event_id", "value")
+    last = e.groupBy("user_id").agg(F.max("ts").alias("until"))
     k = F.struct("ts", "event_id")
-    g = e.groupBy("user_id").agg(F.min_by("value", k).alias("first_hz"), F.max_by("value", k).alias("last_hz"))
-    return g.select("user_id", intervals.boundary_tone(F.col("first_hz"), F.col("last_hz")).alias("tone"))
+    near = e.join(last, "user_id").where(F.col("ts") >= F.col("until") - F.expr("interval 1 day"))
+    return near.groupBy("user_id").agg(F.min_by("value", k).alias("first_hz"), F.max_by("value", k).alias("last_hz"))
+
+
+def boundary_tones(spark, root):
+    return _tones(spark, root).select("user_id", intervals.boundary_tone(F.col("first_hz"), F.col("last_hz")).alias("tone"))
+
+
+def prosody_segments(spark, root):
+    """The phrases of a user's events as labelled segments."""
+    tone = F.when(F.col("value") >= 66, "H%").when(F.col("value") <= 33, "L%").otherwise("F%")
+    p = intervals.labelled_phrases(_paused(spark, root).withColumn("tone", tone), ["user_id"], "tone", block=_DAY())
+    return p.select("user_id", F.col("ap").cast("bigint").alias("ap"), F.round("xmin", 3).alias("xmin"), F.round("xmax", 3).alias("xmax"), "label")
 
 
 def pitch_stats(spark, root):
-    e = _t(spark, root).events
-    return e.groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("lowest"), F.max("value").alias("highest"), F.count("*").alias("n"))
+    e = _t(spark, root).events.select("user_id", "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    p = intervals.pitch_summary(e, ["user_id"], "t", "value")
+    return p.select("user_id", F.round("mean", 6).alias("mean"), "lowest", "highest", "n", F.round(F.col("slope") * 1e6, 6).alias("slope"))
 
 
 def minute_averages(spark, root):
@@ -347,6 +416,6 @@ def orders_stratified(spark, root):
 
 QUERIES = {f.__name__: f for f in (
     master, master_checks, flagship, pronunciation, spelled_roman, tagged_roman, g2p_boundary, hangul_letters, syllable_roman, categories, speakers_norm, speakers_changed, first_speakers, id_keys, labs, coverage_flags,
-    coverage_summary, still_missing, recovery, length_classes, empty_analysis, session_order, keyword_context, session_offsets, session_tiles, tiers_normalized, tiers_whole, pauses, phrases, boundary_tones, pitch_stats, minute_averages,
+    coverage_summary, still_missing, recovery, length_classes, empty_analysis, session_order, keyword_context, session_offsets, session_tiles, tiers_normalized, pauses, phrases, pitch_resets, prosody_segments, boundary_tones, pitch_stats, minute_averages,
     textgrid_intervals, textgrid_labels, regex_search, hitlist, located, n_insertion, words_by_set, top_sessions, first_sessions, seeded_sample, event_props, pron_compare, orders_master, orders_stratified,
 )}

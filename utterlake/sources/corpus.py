@@ -55,8 +55,9 @@ def read_sessions(spark: SparkSession, folder: str, schema: str, sessions: list[
 
 
 def write_sessions(df: DataFrame, folder: str, fmt: str = "parquet") -> None:
-    """One folder per year, sorted by session inside; Spark's committer makes the files visible together."""
-    df.repartition("year", F.pmod(F.xxhash64("session_id"), F.lit(32))).sortWithinPartitions("session_id").write.mode("overwrite").partitionBy("year").format(fmt).option("header", True).save(folder)
+    """One folder per year, sorted by session inside; Spark's committer makes the files visible together. The number of files follows the
+    size of the data: adaptive execution cuts a large year into several tasks and joins small ones."""
+    df.hint("rebalance", "year").sortWithinPartitions("year", "session_id").write.mode("overwrite").partitionBy("year").format(fmt).option("header", True).save(folder)
 
 
 def append_new(df: DataFrame, folder: str, key: str) -> None:

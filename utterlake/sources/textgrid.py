@@ -44,15 +44,20 @@ def read_intervals(spark, folder: str) -> DataFrame:
     return intervals(f.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
 
 
+def seconds(c: str) -> Column:
+    """A time as TextGrids write it, with six decimals."""
+    return F.format_string("%.6f", F.col(c).cast("double"))
+
+
 def rendered(tiers: DataFrame, key: str = "path", order: list[str] | None = None) -> DataFrame:
     """(key, content): interval rows (key, tier, idx, xmin, xmax, text) written as long TextGrids, tiers in the given order or by name."""
-    cell = F.format_string('        intervals [%d]:\n            xmin = %s\n            xmax = %s\n            text = "%s"\n', "idx", F.col("xmin").cast("string"), F.col("xmax").cast("string"), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')))
+    cell = F.format_string('        intervals [%d]:\n            xmin = %s\n            xmax = %s\n            text = "%s"\n', "idx", seconds("xmin"), seconds("xmax"), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')))
     rank = F.coalesce(F.array_position(F.lit(order), F.col("tier")), F.lit(0)) if order else F.lit(0)
     tier = tiers.groupBy(key, "tier").agg(F.array_sort(F.collect_list(F.struct("idx", cell.alias("c")))).alias("cells"), F.min("xmin").alias("b"), F.max("xmax").alias("e")).withColumn("rank", rank)
-    body = F.concat(F.lit('        class = "IntervalTier"\n        name = "'), F.replace("tier", F.lit('"'), F.lit('""')), F.lit('"\n        xmin = '), F.col("b").cast("string"), F.lit("\n        xmax = "), F.col("e").cast("string"), F.lit("\n        intervals: size = "), F.size("cells").cast("string"), F.lit("\n"), F.array_join(F.transform("cells", lambda x: x["c"]), ""))
+    body = F.concat(F.lit('        class = "IntervalTier"\n        name = "'), F.replace("tier", F.lit('"'), F.lit('""')), F.lit('"\n        xmin = '), seconds("b"), F.lit("\n        xmax = "), seconds("e"), F.lit("\n        intervals: size = "), F.size("cells").cast("string"), F.lit("\n"), F.array_join(F.transform("cells", lambda x: x["c"]), ""))
     grid = tier.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "tier", body.alias("body")))).alias("t"), F.min("b").alias("b"), F.max("e").alias("e"))
     items = F.array_join(F.transform("t", lambda x, i: F.concat(F.lit("    item ["), (i + 1).cast("string"), F.lit("]:\n"), x["body"])), "")
-    head = F.concat(F.lit('File type = "ooTextFile"\nObject class = "TextGrid"\n\nxmin = '), F.col("b").cast("string"), F.lit("\nxmax = "), F.col("e").cast("string"), F.lit("\ntiers? <exists>\nsize = "), F.size("t").cast("string"), F.lit("\nitem []:\n"))
+    head = F.concat(F.lit('File type = "ooTextFile"\nObject class = "TextGrid"\n\nxmin = '), seconds("b"), F.lit("\nxmax = "), seconds("e"), F.lit("\ntiers? <exists>\nsize = "), F.size("t").cast("string"), F.lit("\nitem []:\n"))
     return grid.select(key, F.concat(head, items).alias("content"))
 
 
