@@ -1,5 +1,6 @@
 import datetime as dt
 
+from utterlake.operators.counts import SignedCounts, row_changes
 from utterlake.operators.orphans import advance, existence_deltas, fold, orphan_keys, orphan_report, reference_deltas
 
 D = lambda d: dt.datetime(2026, 1, d)
@@ -35,13 +36,55 @@ def test_empty(spark):
     assert report(spark, []) == []
 
 
+REF, ROW = "ref_field string, key string, at timestamp_ntz", "ref_field string, key string, loaded_at timestamp_ntz, deleted_at timestamp_ntz"
+
+
 def test_deltas_in_steps_give_the_state_of_one_pass(spark):
-    ref = spark.createDataFrame([("f", "a", D(1)), ("f", "a", D(2)), ("f", "b", D(1)), ("f", None, D(1))], "ref_field string, key string, at timestamp_ntz")
-    rows = spark.createDataFrame([("f", "a", D(3), None), ("f", "c", D(1), None)], "ref_field string, key string, loaded_at timestamp_ntz, deleted_at timestamp_ntz")
+    ref = spark.createDataFrame([("f", "a", D(1)), ("f", "a", D(2)), ("f", "b", D(1)), ("f", None, D(1))], REF)
+    rows = spark.createDataFrame([("f", "a", D(3), None), ("f", "c", D(1), None)], ROW)
     step = fold(reference_deltas(ref))
     step = advance(step, existence_deltas(rows))
     once = fold(reference_deltas(ref).unionByName(existence_deltas(rows)))
     assert sorted(map(str, step.collect())) == sorted(map(str, once.collect()))
     assert sorted((r.key, r.state) for r in orphan_keys(step).collect()) == [("a", "late"), ("b", "missing")]
-    gone = spark.createDataFrame([("f", "b", D(1), -1)], "ref_field string, key string, at timestamp_ntz, sign int")
+    gone = spark.createDataFrame([("f", "b", D(1), -1)], REF + ", sign int")
     assert [r.key for r in orphan_keys(advance(step, reference_deltas(gone))).collect()] == ["a"]
+
+
+def test_load_delete_reload(spark):
+    """What exists is taken back by its deletion and comes again with a reload, as in one pass over the table of each day."""
+    ref = reference_deltas(spark.createDataFrame([("f", k, D(3)) for k in "abcd"], REF))
+    rows = spark.createDataFrame([("f", "a", D(1), D(5)), ("f", "a", D(7), None), ("f", "b", D(1), D(2)), ("f", "c", D(2), None), ("f", "c", D(1), D(6)), ("f", "d", None, D(8))], ROW)
+    state, before = fold(ref), None
+    for day in (1, 2, 4, 5, 6, 7, None):
+        until = D(day) if day else None
+        state = advance(state, existence_deltas(row_changes(rows, before, until)))
+        once = fold(ref.unionByName(existence_deltas(row_changes(rows, None, until))))
+        assert sorted(map(str, state.collect())) == sorted(map(str, once.collect()))
+        before = until
+        got = {r.key: r.state for r in orphan_keys(state).collect()}
+        if day == 4:
+            assert got == {"b": "deleted"}
+        if day == 5:
+            assert got == {"a": "deleted", "b": "deleted"}
+        if day == 7:
+            assert got == {"a": "late", "b": "deleted"}
+    assert got == {"a": "late", "b": "deleted", "d": "deleted"}
+
+
+def test_store_takes_a_delta_once_and_merges_layers(spark, tmp_path):
+    store = SignedCounts(spark, f"file://{tmp_path}/s", "k string, n bigint, m bigint", ["k"])
+    assert store.read().count() == 0
+    df = lambda rows: spark.createDataFrame(rows, "k string, n int, m int")
+    assert store.apply(df([(f"k{i}", 1, 2) for i in range(100)] + [(None, 1, 0), ("z", 0, 0)]), "a")
+    assert not store.apply(df([("k0", 1, 2)]), "a")
+    for i in range(8):
+        assert store.apply(df([("k1", 1, 0), (f"n{i}", 1, 1)]), f"d{i}")
+    assert store.layers() <= 4
+    assert store.apply(df([(f"k{i}", -1, -2) for i in range(2, 100)]), "b")
+    got = {r.k: (r.n, r.m) for r in store.read().collect()}
+    assert got == {"k0": (1, 2), "k1": (9, 2), None: (1, 0), **{f"n{i}": (1, 1) for i in range(8)}}
+    import os
+
+    assert len([x for x in os.listdir(tmp_path / "s") if x.startswith("manifest-")]) == 2
+    assert len([x for x in os.listdir(tmp_path / "s") if x.startswith("layer-")]) <= 6

@@ -1,4 +1,9 @@
-"""References to records that don't exist, kept as signed counts per key."""
+"""References to records that don't exist, kept as signed counts per key.
+
+The state holds, per key and kind, how many references (``ref``), existing rows (``live``) and deleted rows (``gone``) there are at
+each load time, as signed counts. So every part of it can be withdrawn: a deletion is -1 live and +1 gone, and the earliest load or
+reference is found among what is left, not kept as a minimum that nothing could take back.
+"""
 
 from __future__ import annotations
 
@@ -6,76 +11,107 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utterlake.functions.speakers import is_known, with_speaker
+from utterlake.operators.counts import SignedCounts, halfway, loaded_between, row_changes
+from utterlake.operators.tokens import year_of
+from utterlake.session import new_path
 
 KEY = ["ref_field", "key"]
-#: State of a key: references, rows that exist now, rows ever seen, earliest load of a row that exists, earliest load of a reference.
-STATE = ["refs", "existing", "seen", "first_live", "first_ref"]
+#: The state: one row per key, kind and load time.
+STATE_SCHEMA, STATE_KEYS = "ref_field string, key string, kind string, at timestamp, n bigint", ["ref_field", "key", "kind", "at"]
+
+
+def _sign(df: DataFrame):
+    return (F.col("sign") if "sign" in df.columns else F.lit(1)).cast("bigint").alias("n")
 
 
 def reference_deltas(refs: DataFrame) -> DataFrame:
     """(ref_field, key, at[, sign]) to deltas: +1 reference each, -1 where sign is -1 (a reference withdrawn)."""
-    sign = F.col("sign").cast("long") if "sign" in refs.columns else F.lit(1).cast("long")
-    return refs.select(*KEY, sign.alias("refs"), F.lit(0).cast("long").alias("existing"), F.lit(0).cast("long").alias("seen"), F.lit(None).cast("timestamp").alias("first_live"), F.col("at").cast("timestamp").alias("first_ref"))
+    return refs.where("key is not null").select(*KEY, F.lit("ref").alias("kind"), F.col("at").cast("timestamp").alias("at"), _sign(refs))
 
 
 def existence_deltas(rows: DataFrame) -> DataFrame:
-    """(ref_field, key, loaded_at, deleted_at) to deltas: +1 at the load, -1 at the deletion of each row."""
-    live = F.col("deleted_at").isNull()
-    return rows.select(*KEY, F.lit(0).cast("long").alias("refs"), F.when(live, 1).otherwise(0).cast("long").alias("existing"), F.lit(1).cast("long").alias("seen"), F.when(live, F.col("loaded_at").cast("timestamp")).alias("first_live"), F.lit(None).cast("timestamp").alias("first_ref"))
+    """(ref_field, key, loaded_at, deleted_at[, sign]) to deltas: a row counts as live or, with deleted_at, as gone; -1 where sign is -1.
+    A row that is deleted after it was taken is two signed rows, as it was and as it is (`counts.row_changes`)."""
+    kind = F.when(F.col("deleted_at").isNull(), "live").otherwise("gone").alias("kind")
+    return rows.where("key is not null").select(*KEY, kind, F.col("loaded_at").cast("timestamp").alias("at"), _sign(rows))
 
 
 def fold(deltas: DataFrame) -> DataFrame:
-    """Sum signed deltas per key. Sums and minima are associative, so yesterday's state is one more delta and a hot key is
-    pre-aggregated in every map task."""
-    return deltas.where(F.col("key").isNotNull()).groupBy(*KEY).agg(
-        F.sum("refs").alias("refs"), F.sum("existing").alias("existing"), F.sum("seen").alias("seen"), F.min("first_live").alias("first_live"), F.min("first_ref").alias("first_ref")
-    )
+    """Sum signed deltas per key, kind and time; a hot key is pre-aggregated in every map task."""
+    return deltas.groupBy(*STATE_KEYS).agg(F.sum("n").alias("n")).where("n <> 0")
 
 
 def advance(state: DataFrame, deltas: DataFrame) -> DataFrame:
-    """The state after more deltas; keys that fell back to nothing leave it."""
-    return fold(state.select(*KEY, *STATE).unionByName(deltas)).where((F.col("refs") != 0) | (F.col("seen") != 0))
+    """The state after more deltas; what fell back to nothing leaves it."""
+    return fold(state.select(*STATE_KEYS, "n").unionByName(deltas.select(*STATE_KEYS, "n")))
+
+
+def summed_up(state: DataFrame) -> DataFrame:
+    """(ref_field, key, refs, existing, gone, first_live, first_ref) from the state."""
+
+    def n(kind: str):
+        return F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
+
+    def first(kind: str):
+        return F.min(F.when((F.col("kind") == kind) & (F.col("n") > 0), F.col("at")))
+
+    return state.groupBy(*KEY).agg(n("ref").alias("refs"), n("live").alias("existing"), n("gone").alias("gone"), first("live").alias("first_live"), first("ref").alias("first_ref"))
 
 
 def orphan_keys(state: DataFrame) -> DataFrame:
     """Keys with references and no existing row, or one that was first loaded after the first reference."""
-    return (
-        state.where((F.col("refs") > 0) & ((F.col("existing") <= 0) | (F.col("first_live") > F.col("first_ref"))))
-        .withColumn("state", F.when(F.col("existing") > 0, "late").when(F.col("seen") > 0, "deleted").otherwise("missing"))
-    )
-
+    s = summed_up(state).where((F.col("refs") > 0) & ((F.col("existing") <= 0) | (F.col("first_live") > F.col("first_ref"))))
+    return s.withColumn("state", F.when(F.col("existing") > 0, "late").when(F.col("gone") > 0, "deleted").otherwise("missing"))
 
-def corpus_deltas(search_master: DataFrame, bareun_raw: DataFrame, file_meta: DataFrame, speakers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(deltas of the three reference fields, utterance references to speakers with their rows).
 
-    The key of a speaker is ``year|id``. An utterance without utt_id refers to nothing; a label that names no speaker neither.
-    """
+def spoken_references(search_master: DataFrame, file_meta: DataFrame) -> DataFrame:
+    """(key, utt_id, year, at) of utterances whose label names a speaker, resolved along the session list as it stands now; the key is
+    ``year|id``. An utterance without utt_id or year refers to nothing, a label that names no speaker neither."""
     u = search_master.select("utt_id", "year", "session_id", "speaker_id", F.col("loaded_at").alias("at")).where("utt_id is not null")
     spoken = with_speaker(u, file_meta).where(is_known(F.col("speaker")) & F.col("year").isNotNull())
-    spoken = spoken.select(F.lit("speaker_id").alias("ref_field"), F.concat_ws("|", "year", "speaker").alias("key"), "utt_id", "year", "at")
-    refs = spoken.select(*KEY, "at").unionByName(u.select(F.lit("utt_id").alias("ref_field"), F.col("utt_id").alias("key"), "at"))
-    refs = refs.unionByName(u.where("session_id is not null").select(F.lit("file_id").alias("ref_field"), F.col("session_id").alias("key"), "at"))
+    return spoken.select(F.concat_ws("|", "year", "speaker").alias("key"), "utt_id", "year", "at")
+
+
+def corpus_deltas(search_master: DataFrame, bareun_raw: DataFrame, file_meta: DataFrame, speakers: DataFrame, after: object | None = None, until: object | None = None) -> DataFrame:
+    """The deltas of the three reference fields for what was loaded or deleted after one time and until another (null: from nothing, to
+    the end)."""
+    sm = loaded_between(search_master, after, until)
+    spoken = spoken_references(sm, file_meta).select(F.lit("speaker_id").alias("ref_field"), "key", "at")
+    u = sm.where("utt_id is not null").select("utt_id", "session_id", F.col("loaded_at").alias("at"))
+    refs = spoken.unionByName(u.select(F.lit("utt_id").alias("ref_field"), F.col("utt_id").alias("key"), "at"))
+    refs = refs.unionByName(u.select(F.lit("file_id").alias("ref_field"), F.col("session_id").alias("key"), "at"))
 
     def rows(df: DataFrame, field: str, key) -> DataFrame:
-        return df.select(F.lit(field).alias("ref_field"), key.alias("key"), "loaded_at", "deleted_at")
+        return existence_deltas(row_changes(df.select(F.lit(field).alias("ref_field"), key.alias("key"), "loaded_at", "deleted_at"), after, until))
+
+    out = reference_deltas(refs).unionByName(rows(bareun_raw, "utt_id", F.col("utt_id"))).unionByName(rows(file_meta, "file_id", F.col("file_id")))
+    return out.unionByName(rows(speakers.where("year is not null and id is not null"), "speaker_id", F.concat_ws("|", "year", "id")))
+
 
-    exist = rows(bareun_raw, "utt_id", F.col("utt_id"))
-    exist = exist.unionByName(rows(file_meta, "file_id", F.col("file_id")))
-    exist = exist.unionByName(rows(speakers.where("year is not null and id is not null"), "speaker_id", F.concat_ws("|", "year", "id")))
-    return reference_deltas(refs).unionByName(existence_deltas(exist)), spoken
+def orphan_state(search_master: DataFrame, bareun_raw: DataFrame, file_meta: DataFrame, speakers: DataFrame, path: str, until: list | None = None) -> DataFrame:
+    """The state after loading the corpus in steps, one delta per time in ``until`` (the last, null, takes the rest), through a store at
+    ``path``. A store that exists goes on from where it stands: a step of the same name isn't taken twice."""
+    store = SignedCounts(search_master.sparkSession, path, STATE_SCHEMA, STATE_KEYS)
+    after = None
+    for step in until if until is not None else [None]:
+        store.apply(corpus_deltas(search_master, bareun_raw, file_meta, speakers, after, step), f"{after}..{step}")
+        after = step
+    return store.read()
 
 
-def orphan_report(search_master: DataFrame, bareun_raw: DataFrame, file_meta: DataFrame, speakers: DataFrame) -> DataFrame:
+def orphan_report(search_master: DataFrame, bareun_raw: DataFrame, file_meta: DataFrame, speakers: DataFrame, path: str | None = None, until: list | None = None) -> DataFrame:
     """One row per utterance (speaker_id, utt_id) or session (file_id) whose reference has no record: ref_field, row_key, year, state.
 
     state is ``missing`` (no such key), ``deleted`` (all its rows are) or ``late`` (its first existing row was loaded after the
-    referring row). Copies of an utterance count once, by their earliest load. Null keys and null labels refer to nothing. Only
-    the keys at fault go back to the utterances, as a join on the key; the bulk of the references leaves with the aggregation.
+    referring row). Copies of an utterance count once, by their earliest load. Null keys and null labels refer to nothing. The state
+    is built from change deltas, by default in two, before and after the middle of the load times: the second brings rows that come
+    later and takes back those deleted since. Only the keys at fault go back to the utterances, as a join on the key.
     """
-    deltas, spoken = corpus_deltas(search_master, bareun_raw, file_meta, speakers)
-    bad = orphan_keys(fold(deltas))
-    own = bad.where("ref_field <> 'speaker_id'").select("ref_field", F.col("key").alias("row_key"), F.concat(F.lit("20"), F.substring("key", 5, 2)).alias("year"), "state")
-    utterances = spoken.join(bad.where("ref_field = 'speaker_id'").select("key", "state", "first_live"), "key")
+    spark = search_master.sparkSession
+    state = orphan_state(search_master, bareun_raw, file_meta, speakers, path or new_path(spark, "orphans"), until if until is not None else [*filter(None, [halfway(search_master)]), None])
+    bad = orphan_keys(state)
+    own = bad.where("ref_field <> 'speaker_id'").select("ref_field", F.col("key").alias("row_key"), year_of("key").alias("year"), "state")
+    utterances = spoken_references(search_master, file_meta).join(bad.where("ref_field = 'speaker_id'").select("key", "state", "first_live"), "key")
     by_utt = utterances.groupBy("utt_id", "year", "state", "first_live").agg(F.min(F.col("at").cast("timestamp")).alias("at"))
     late = (F.col("state") != "late") | (F.col("first_live") > F.col("at"))
     return own.unionByName(by_utt.where(late).select(F.lit("speaker_id").alias("ref_field"), F.col("utt_id").alias("row_key"), "year", "state"))
