@@ -62,3 +62,14 @@ def test_empty(spark):
     assert m.selection().count() == 0 and m.shares().count() == 2
     none = Mixture(documents(spark), targets.limit(0))
     assert none.selection().count() == 0 and none.unreachable().count() == 0
+
+
+@needs_vocabulary
+def test_what_is_out_of_reach_is_used_up(spark):
+    """A source below one block, and one that can't reach its share, give all they have as often as they may."""
+    docs = spark.createDataFrame([(i, "big", "word " * 50) for i in range(200)] + [(900, "tiny", "word " * 20), (901, "few", "word " * 130), (902, "few", "word " * 130)], "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("big", 0.4, 1), ("tiny", 0.3, 3), ("few", 0.3, 2)], TARGETS)
+    m = Mixture(docs, targets, block_tokens=100)
+    got = {r.doc_id: r.copies for r in m.selection().collect()}
+    assert got[900] == 3 and got[901] == got[902] == 2 and max(c for d, c in got.items() if d < 900) == 1
+    assert sorted(r.source for r in m.unreachable().collect()) == ["few", "tiny"]

@@ -29,13 +29,13 @@ def test_deltas_lead_to_the_full_count(spark):
     first = [row(i) for i in range(60)]
     second = [row(i) if i % 7 == 0 else first[i] for i in range(40)] + [row(i) for i in range(60, 75)]
     a, b = (spark.createDataFrame(x, SCHEMA) for x in (first, second))
-    store = TermCounts(spark, new_path(spark, "terms"), buckets=8)
+    store = TermCounts(spark, new_path(spark, "terms"))
     store.apply(term_deltas(a))
     changes = record_changes(a, b)
     assert changes.count() < 60
     store.apply(term_deltas(changes))
     assert counts(store.read()) == counts(term_deltas(b))
-    again = TermCounts(spark, store.path, buckets=8)
+    again = TermCounts(spark, store.path)
     again.apply(term_deltas(record_changes(b, b)))
     assert counts(again.read()) == counts(term_deltas(b))
     again.apply(term_deltas(record_changes(b, b.limit(0))))
@@ -55,3 +55,18 @@ def test_empty_and_very_long(spark):
     assert marked(count_terms(empty, new_path(spark, "terms"))).count() == 0
     long = spark.createDataFrame([("u", "가 나 " * 100_000, None)], SCHEMA)
     assert counts(term_deltas(long))[("form", "나")] == (100_000, 1)
+
+
+def test_loads_in_steps_give_one_pass(spark):
+    """Late rows, copies and changed records, taken in by load time, give the counts of the whole table; a repeated step is harmless."""
+    import datetime as dt
+
+    day = lambda d: dt.datetime(2026, 1, d)
+    rows = [("a", "하나 둘", None, day(1)), ("b", "둘", "둘/NR", day(2)), ("b", "둘", "둘/NR", day(4)), ("c", "셋", None, day(4)), ("d", "하나", None, None), ("e", "가", None, day(2)), ("e", "나", None, day(5)), ("e", "나", None, day(6)), (None, "x", None, day(4))]
+    d = spark.createDataFrame(rows, SCHEMA + ", loaded_at timestamp_ntz")
+    want = counts(term_deltas(utterance_records(d)))
+    path = new_path(spark, "terms")
+    assert counts(count_terms(d, path, [day(2), day(4), day(5), None])) == want
+    assert counts(count_terms(d, path, [day(2), day(4), day(5), None])) == want
+    assert counts(count_terms(d, new_path(spark, "terms"))) == want
+    assert want[("form", "나")] == (1, 1) and ("form", "가") not in want

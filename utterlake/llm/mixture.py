@@ -77,7 +77,7 @@ class Mixture:
     The mixture is as large as all documents, those without a source in the targets included, measured in tokens. Documents are
     tokenized once and the counts are written down. Per source a seeded order and the running token count lay its documents out
     in equal blocks, in shards of bounded size; a document belongs to the block in which it begins. Null texts have 0 tokens, null sources belong to no target; documents without doc_id are left out.
-    A source listed twice in the targets counts once, with its greatest share. Null shares count as 0, null max_repeats as 1.
+    The last block of a shard may be short and takes a seat like any other. A source listed twice in the targets counts once, with its greatest share. Null shares count as 0, null max_repeats as 1.
     """
 
     def __init__(self, documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = 17, folder: str = TOKENIZERS, shard_tokens: int = SHARD_TOKENS):
@@ -93,32 +93,53 @@ class Mixture:
         supply = {r.source: r.tokens for r in per_source.where(F.col("source").isin(names)).collect()} if names else {}
         self.total = self.docs.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
         self.plan = [{"source": r.source, "share": r.share or 0.0, "repeats": 1 if r.repeats is None else max(0, r.repeats), "supply": supply.get(r.source, 0)} for r in rows]
-        for p in self.plan:
-            p["cap"] = p["repeats"] * p["supply"] // self.block
-            p["short"] = p["repeats"] * p["supply"] < p["share"] * self.total
         seats = round(self.total / self.block)
-        for p, q in zip(self.plan, sainte_lague([p["share"] for p in self.plan], seats, [p["cap"] for p in self.plan]), strict=True):
-            p["quota"] = q
+        shares = [p["share"] for p in self.plan]
+        # a source is out of reach where its quota without caps comes within a pass of its cap, checked then to the token
+        free = sainte_lague(shares, seats, [seats] * len(shares))
+        for p, quota in zip(self.plan, free, strict=True):
+            p["cap"] = p["repeats"] * -(-p["supply"] // self.block)
+            p["short"] = quota + p["repeats"] + 1 >= p["cap"] and p["repeats"] * p["supply"] < p["share"] * self.total
             p["shards"] = min(max(1, MAX_SHARDS // len(self.plan)), max(1, -(-p["supply"] // shard_tokens)))
 
     def unreachable(self) -> DataFrame:
         """(source): targets that cannot reach their share even at max_repeats."""
         return self.spark.createDataFrame([(p["source"],) for p in self.plan if p["short"]], "source string")
 
-    def selection(self) -> DataFrame:
-        """(doc_id, source, tokens, copies): the mixture; copies says how often a document is in it."""
+    def _laid_out(self) -> DataFrame:
+        """Documents of the target sources with their seeded order and shard."""
         head = self.spark.createDataFrame([(p["source"], p["shards"]) for p in self.plan], "source string, shards int")
         order = F.xxhash64(F.lit(self.seed), F.col("doc_id").cast("string"))
-        docs = self.docs.join(F.broadcast(head), "source").withColumn("order", order).withColumn("shard", F.pmod(F.col("order"), F.col("shards")).cast("int"))
-        supply = {(r.source, r.shard): r.tokens for r in docs.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).collect()}  # at most MAX_SHARDS rows, or one per source
-        quotas = []
+        return self.docs.join(F.broadcast(head), "source").withColumn("order", order).withColumn("shard", F.pmod(F.col("order"), F.col("shards")).cast("int"))
+
+    def _quotas(self, docs: DataFrame) -> list[tuple[str, int, int, int]]:
+        """(source, shard, passes, extra): every block of the shard is in so many passes, the first ``extra`` blocks in one more.
+
+        Sources out of reach give every block as often as they may. What is then left of the size goes to the others by highest
+        quotients, up to their blocks times their repeats, and within a source to its shards likewise.
+        """
+        own: dict[str, list[tuple[int, int]]] = {}
+        for r in docs.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).collect():  # at most MAX_SHARDS rows, or one per source
+            own.setdefault(r.source, []).append((r.shard, r.tokens))
+        blocks = {s: [-(-t // self.block) for _, t in sorted(shards)] for s, shards in own.items()}
+        taken = sum(p["repeats"] * p["supply"] for p in self.plan if p["short"])
+        others = [p for p in self.plan if not p["short"]]
+        seats = max(0, round((self.total - taken) / self.block))
+        given = sainte_lague([p["share"] for p in others], seats, [p["repeats"] * sum(blocks.get(p["source"], [])) for p in others])
+        quota = {p["source"]: q for p, q in zip(others, given, strict=True)}
+        out = []
         for p in self.plan:
-            own = sorted((s, t) for (src, s), t in supply.items() if src == p["source"])
-            blocks = [-(-t // self.block) for _, t in own]
-            for (s, _), n, q in zip(own, blocks, sainte_lague([t for _, t in own], p["quota"], [n * p["repeats"] for n in blocks]), strict=True):
-                if n:
-                    quotas.append((p["source"], s, q // n, q % n))
-        quota = self.spark.createDataFrame(quotas, "source string, shard int, passes int, extra int")
+            shards, n = sorted(own.get(p["source"], [])), blocks.get(p["source"], [])
+            p["quota"] = p["repeats"] * sum(n) if p["short"] else quota[p["source"]]
+            for (s, _), k, q in zip(shards, n, sainte_lague([t for _, t in shards], p["quota"], [p["repeats"] * k for k in n]), strict=True):
+                if k:
+                    out.append((p["source"], s, q // k, q % k))
+        return out
+
+    def selection(self) -> DataFrame:
+        """(doc_id, source, tokens, copies): the mixture; copies says how often a document is in it."""
+        docs = self._laid_out()
+        quota = self.spark.createDataFrame(self._quotas(docs), "source string, shard int, passes int, extra int")
         running = Window.partitionBy("source", "shard").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         laid = docs.withColumn("block", F.floor((F.sum("tokens").over(running) - F.col("tokens")) / self.block))
         picked = laid.join(F.broadcast(quota), ["source", "shard"]).withColumn("copies", (F.col("passes") + F.when(F.col("block") < F.col("extra"), 1).otherwise(0)).cast("int"))
@@ -126,10 +147,11 @@ class Mixture:
 
     def shares(self) -> DataFrame:
         """Per target source: supply, quota in tokens, tokens in the mixture, share reached and whether it is out of reach."""
+        chosen = self.selection()
         head = self.spark.createDataFrame(
             [(p["source"], p["share"], p["repeats"], p["supply"], p["quota"] * self.block, p["short"]) for p in self.plan],
             "source string, target_share double, max_repeats int, supply_tokens bigint, quota_tokens bigint, unreachable boolean",
         )
-        got = self.selection().groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("copies"))
+        got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("copies"))
         both = head.join(F.broadcast(got), "source", "left").fillna(0, ["tokens", "copies"])
         return both.withColumn("share", F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy())), F.lit(0.0)))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterlake.functions.text import INVISIBLE, nfc, packed_tagged, split_ws
+from utterlake.operators.counts import SignedCounts, halfway, loaded_between
 
 RECORDS = "#records"  # the field under which the number of records itself is counted, with term ''
 STORE_SCHEMA = "field string, term string, occurrences bigint, records bigint"
@@ -36,6 +34,25 @@ def record_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(F.explode(F.array(side("o", -1), side("n", 1))).alias("r")).select("r.*").where("utt_id is not null")
 
 
+def changes_between(bareun_raw: DataFrame, after: object | None, until: object | None) -> DataFrame:
+    """Signed records that lead from the utterances loaded until one time to those loaded until another (null: from nothing, to the end).
+
+    Only utterances with a row loaded in between are looked at: an utterance that is new comes in, one whose record differs goes out as
+    it was and comes in as it is. Rows without a load time count as loaded first.
+    """
+    if after is None:
+        return utterance_records(bareun_raw if until is None else loaded_between(bareun_raw, None, until)).withColumn("sign", F.lit(1))
+    fresh = loaded_between(bareun_raw, after, until).where("utt_id is not null").select("utt_id").distinct()
+    known = F.coalesce(F.col("loaded_at").cast("timestamp") <= F.lit(after), F.lit(True))
+    rows = bareun_raw if until is None else loaded_between(bareun_raw, None, until)
+    both = rows.join(fresh, "utt_id", "left_semi").groupBy("utt_id").agg(
+        F.bool_or(known).alias("old"), *[F.max(F.when(known, F.col(c))).alias(f"o_{c}") for c in ("form", "tagged")], *[F.max(c).alias(f"n_{c}") for c in ("form", "tagged")]
+    )
+    both = both.where(~F.col("old") | ~F.col("o_form").eqNullSafe(F.col("n_form")) | ~F.col("o_tagged").eqNullSafe(F.col("n_tagged")))
+    side = lambda p, sign: F.struct(F.col(f"{p}_form").alias("form"), F.col(f"{p}_tagged").alias("tagged"), F.lit(sign).alias("sign"))
+    return both.select("utt_id", F.inline(F.when(F.col("old"), F.array(side("o", -1), side("n", 1))).otherwise(F.array(side("n", 1)))))
+
+
 def term_deltas(records: DataFrame) -> DataFrame:
     """(field, term, occurrences, records): the change that signed records make; without ``sign`` all are added.
 
@@ -55,68 +72,11 @@ def term_deltas(records: DataFrame) -> DataFrame:
     return terms.groupBy("field", "term").agg(F.sum(F.col("_sign") * F.col("o")).alias("occurrences"), F.sum(F.col("_sign") * F.col("r")).alias("records"))
 
 
-class TermCounts:
-    """Counts in a folder, one subfolder per bucket and version. A delta rewrites only the buckets it touches; the rename of a new
-    manifest makes them visible together, so a reader or a job that starts again sees the old state or the new one, never a mixture."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
-
-    def _fs(self):
-        hadoop = self.spark._jvm.org.apache.hadoop
-        return hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop.fs.Path
-
-    def _versions(self) -> list[str]:
-        fs, path = self._fs()
-        if not fs.exists(path(self.path)):
-            return []
-        return sorted(n[len("manifest-") :] for n in (s.getPath().getName() for s in fs.listStatus(path(self.path))) if n.startswith("manifest-"))
-
-    def _manifest(self) -> dict[str, str]:
-        """Bucket to the folder of its newest version."""
-        versions = self._versions()
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/manifest-{versions[-1]}").collect())) if versions else {}
-
-    def read(self) -> DataFrame:
-        folders = sorted(set(self._manifest().values()))
-        if not folders:
-            return self.spark.createDataFrame([], STORE_SCHEMA)
-        return self.spark.read.schema(STORE_SCHEMA).parquet(*folders)
-
-    def apply(self, deltas: DataFrame) -> None:
-        """Merge signed deltas; terms whose counts fall to zero leave."""
-        bucket = F.pmod(F.xxhash64("field", "term"), F.lit(self.buckets)).cast("int")
-        old, folder = self._manifest(), uuid.uuid4().hex
-        version = f"{int((self._versions() or ['0'])[-1]) + 1:09d}"
-        deltas = deltas.withColumn("bucket", bucket)
-        if old:
-            touched = {r.bucket for r in deltas.select("bucket").distinct().collect()}  # at most `buckets` numbers
-            before = [f for b, f in old.items() if int(b) in touched]
-            if before:
-                state = self.spark.read.schema(STORE_SCHEMA).parquet(*before).withColumn("bucket", bucket)
-                deltas = deltas.unionByName(state)
-        merged = deltas.groupBy("bucket", "field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-        staging = f"{self.path}/data-{folder}"
-        merged.where("occurrences <> 0 or records <> 0").repartition("bucket").write.partitionBy("bucket").parquet(staging)
-        fs, path = self._fs()
-        new = dict(old)
-        for b in [b for b in old if int(b) in (touched if old else ())]:
-            del new[b]
-        for s in fs.listStatus(path(staging)):
-            name = s.getPath().getName()
-            if name.startswith("bucket="):
-                to = f"{self.path}/{name}/v{version}-{folder}"
-                fs.mkdirs(path(to).getParent())
-                if not fs.rename(s.getPath(), path(to)):
-                    raise RuntimeError(f"{to} can't be committed")
-                new[name.split("=")[1]] = to
-        part = path(f"{self.path}/.manifest-{folder}")
-        out = fs.create(part)
-        out.write(bytearray(json.dumps(new).encode()))
-        out.close()
-        to = path(f"{self.path}/manifest-{version}")
-        if fs.exists(to) or not fs.rename(part, to):
-            raise RuntimeError(f"{to} can't be committed: another writer was first")
+class TermCounts(SignedCounts):
+    """The counts of terms at ``path`` (`SignedCounts`): a delta costs its own size, a repeated one is harmless."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, STORE_SCHEMA, ["field", "term"])
 
 
 def marked(counts: DataFrame, rare_records: int = 1, common_share: float = 0.02) -> DataFrame:
@@ -127,8 +87,18 @@ def marked(counts: DataFrame, rare_records: int = 1, common_share: float = 0.02)
     return counts.where(F.col("field") != RECORDS).withColumn("mark", mark)
 
 
-def count_terms(bareun_raw: DataFrame, path: str) -> DataFrame:
-    """Counts of all terms of the utterances, through a store at ``path``; null and empty fields have no terms."""
+def count_terms(bareun_raw: DataFrame, path: str, until: list | None = None) -> DataFrame:
+    """Counts of all terms of the utterances, through a store at ``path``; null and empty fields have no terms.
+
+    The table is taken in as changes, one delta per time in ``until`` (null takes the rest); by default in two, before and after the
+    middle of the load times. A step of the same name isn't taken twice, so a job that starts again goes on where it stood.
+    """
     store = TermCounts(bareun_raw.sparkSession, path)
-    store.apply(term_deltas(utterance_records(bareun_raw)))
+    if until is None:
+        middle = halfway(bareun_raw) if "loaded_at" in bareun_raw.columns else None
+        until = [middle, None] if middle else [None]
+    after = None
+    for step in until:
+        store.apply(term_deltas(changes_between(bareun_raw, after, step)), f"{after}..{step}")
+        after = step
     return store.read()
