@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
@@ -54,7 +55,10 @@ def files(spark):
 def test_consolidation(spark, tmp_path):
     want = [("search_master", "u1", "l/2020/S/S (2).csv"), ("search_master", "u2", "l/2020/S/part-0.csv"), ("textgrid_eojeol", "u1", "a/u1.TextGrid"), ("textgrid_eojeol", "u3", "c/u3.TextGrid")]
     f = files(spark)
-    out = consolidate(f.unionByName(f), f"file://{tmp_path}/t", target_bytes=30)
+    out, named = consolidate(f.unionByName(f), f"file://{tmp_path}/t", target_bytes=30)
+    names = sorted(x for x in os.listdir(tmp_path / "t") if x.endswith(".parquet"))
+    assert names == sorted(r.file for r in named.collect()) and all(r.bytes == os.path.getsize(tmp_path / "t" / r.file) for r in named.collect())
+    assert sum(r.records for r in named.collect()) == len(want)
     assert sorted((r.layer, r.utt_id, r.path) for r in out.collect()) == want
     assert '"new"' in out.where("layer = 'search_master' and utt_id = 'u1'").first().payload
     with pytest.raises(RuntimeError):
@@ -73,3 +77,23 @@ def test_packing_covers_each_path_once(spark):
     for r in rows:
         load[r.bin] = load.get(r.bin, 0) + int(r.path[1:]) % 50
     assert max(load.values()) <= 100 and len(load) <= sum(load.values()) / 100 + 12
+
+
+def test_many_bins_a_task_and_a_file_a_bin(spark, tmp_path):
+    rows = [(f"l/S{i}.csv", 60, D(1), "utt_id,form\n" + "".join(f"u{i}.{j},x{j}\n" for j in range(5)), "x", "y") for i in range(60)]
+    out, named = consolidate(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/t", target_bytes=120, task_bytes=1 << 30)
+    bins = {r.bin for r in named.collect()}
+    assert len(bins) == 30 and out.count() == 300 and out.select("bin").distinct().count() == 30
+    assert len([x for x in os.listdir(tmp_path) if x.endswith("staging")]) == 0
+
+
+def test_a_file_that_no_task_named_doesnt_count(spark, tmp_path):
+    from utterlake.operators.compact import _read_back, _unnamed, _fs
+
+    out, named = consolidate(files(spark), f"file://{tmp_path}/t")
+    spark.createDataFrame([("l", "u", "p", "x", "b")], "layer string, utt_id string, path string, payload string, bin string").coalesce(1).write.parquet(f"file://{tmp_path}/extra")
+    extra = next(x for x in os.listdir(tmp_path / "extra") if x.endswith(".parquet"))
+    os.rename(tmp_path / "extra" / extra, tmp_path / "t" / extra)
+    assert _read_back(spark, f"file://{tmp_path}/t", named).count() == 4
+    fs, folder = _fs(spark, f"file://{tmp_path}/t")
+    assert _unnamed(spark, fs, folder, named) == [extra]

@@ -6,18 +6,21 @@ import csv
 import io
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from utterlake.session import new_path, stored
 
-#: Bytes of source files per bin, and the bounds of one packing task.
-TARGET_BYTES, SHARD_BYTES, SHARD_FILES = 64 << 20, 256 << 30, 100_000
+#: Bytes of source files per bin and per writing task, and the bounds of one packing task.
+TARGET_BYTES, TASK_BYTES, SHARD_BYTES, SHARD_FILES = 64 << 20, 512 << 20, 256 << 30, 100_000
 RECORD_SCHEMA = "layer string, utt_id string, path string, modified_at timestamp, payload string"
 
 csv.field_size_limit(1 << 30)
@@ -154,36 +157,121 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def consolidate(files: DataFrame, target: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """Rewrite all complete records of the listed small files into one file per bin under ``target`` and return them.
+class _BinWriter:
+    """Writes the records of one bin after another, each bin to files of its own under a folder of any file system that Arrow knows.
+
+    Files are named by the attempt, so a task that runs twice leaves files that nothing names. A bin whose file has grown to the
+    target goes on in a further file.
+    """
+
+    def __init__(self, folder: str, target_bytes: int):
+        self.fs, self.path = pafs.FileSystem.from_uri(folder)
+        self.target, self.done, self.writer, self.bin = target_bytes, [], None, None
+
+    def write(self, bin_: str, rows: pa.RecordBatch) -> None:
+        if self.writer is not None and (bin_ != self.bin or self.sink.tell() >= self.target):
+            self.close()
+        if self.writer is None:
+            self.bin, self.name, self.rows = bin_, f"{bin_}-{uuid.uuid4().hex}.parquet", 0
+            self.sink = self.fs.open_output_stream(f"{self.path}/{self.name}")
+            self.writer = pq.ParquetWriter(self.sink, rows.schema, compression="zstd")
+        self.writer.write_batch(rows)
+        self.rows += rows.num_rows
+
+    def close(self) -> None:
+        if self.writer is not None:
+            self.writer.close()
+            size = self.sink.tell()
+            self.sink.close()
+            self.done.append((self.bin, self.name, self.rows, size))
+            self.writer = None
+
+
+FILES_SCHEMA = "bin string, file string, records bigint, bytes bigint"
+
+
+def _write_bins(folder: str, target_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _BinWriter(folder, target_bytes)
+        for b in batches:
+            bins = b.column("bin").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(bins[1:] != bins[:-1]) + 1).tolist(), len(bins)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if j > i:
+                    out.write(bins[i], b.slice(i, j - i))
+        out.close()
+        if out.done:
+            types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out.done, strict=True), types, strict=True)], names=["bin", "file", "records", "bytes"])
+
+    return run
+
+
+def consolidate(files: DataFrame, target: str, target_bytes: int = TARGET_BYTES, task_bytes: int = TASK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Rewrite all complete records of the listed small files into one file per bin under ``target``: (the records, the files with their
+    bin, records and bytes as written).
 
     The manifest and its bins are written down first, so the plan stays the same however long the job runs. Records are parsed once;
-    copies in other files fall to the newest before they are moved to their bin. What the writer was given and what stands in the
-    files must agree in count and checksums; only then one rename makes the folder visible. A target that exists is an error.
-    Empty, broken and foreign files give no records; an empty table gives an empty folder.
+    copies in other files fall to the newest before they are moved to their bin. A task writes many bins, sorted, one after the
+    other; files lie in one folder. A task that fails leaves files that aren't named by what the job returns; they are removed. What
+    the writers were given and what stands in the named files must agree in count and checksums; only then one rename makes the
+    folder visible. A target that exists is an error. Empty, broken and foreign files give no records; an empty table gives an empty folder.
     """
     spark = files.sparkSession
     listed = data_files(files)
     plan = stored(pack_manifest(listed, target_bytes), "manifest")
-    bins = plan.agg(F.count_distinct("bin")).first()[0]
-    kept = newest_records(records(listed)).join(plan, "path")
-    seen, staging = Observation("handed to the writer"), f"{target}.staging"
-    placed = kept.repartition(max(1, bins), "bin")
-    placed.observe(seen, *_checks(placed)).write.mode("overwrite").partitionBy("bin").parquet(staging)
-    schema = "layer string, utt_id string, path string, payload string, bin string"
-    back = spark.read.schema(schema).parquet(staging)
-    got = back.agg(*_checks(back)).first().asDict()
+    total = listed.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0]
+    tasks = max(1, -(-int(total) // task_bytes), min(spark.sparkContext.defaultParallelism, plan.agg(F.count_distinct("bin")).first()[0]))
+    kept = newest_records(records(listed)).join(plan, "path").select("layer", "utt_id", "path", "payload", "bin")
+    seen, staging = Observation("handed to the writers"), f"{target}.staging"
+    fs, folder = _fs(spark, staging)
+    fs.delete(folder, True)
+    fs.mkdirs(folder)
+    placed = kept.repartition(tasks, "bin").sortWithinPartitions("bin", "layer", "utt_id")
+    written = placed.observe(seen, *_checks(placed)).mapInArrow(_write_bins(_arrow_uri(staging), target_bytes), FILES_SCHEMA)
+    named = stored(written, "files")
+    got = _read_back(spark, staging, named).agg(*_checks(placed)).first().asDict()
     if got != {**dict.fromkeys(got), **seen.get}:
         raise RuntimeError(f"{staging} isn't what was written: {got} instead of {seen.get}")
-    fs, to = _fs(spark, target)
-    if fs.exists(to) or not fs.rename(_fs(spark, staging)[1], to):
+    for name in _unnamed(spark, fs, folder, named):
+        fs.delete(_fs(spark, f"{staging}/{name}")[1], False)
+    to = _fs(spark, target)[1]
+    if fs.exists(to) or not fs.rename(folder, to):
         raise RuntimeError(f"{target} can't be committed")
-    return spark.read.schema(schema).parquet(target)
+    return _read_back(spark, target, named), named
+
+
+def _arrow_uri(path: str) -> str:
+    """Hadoop writes ``file:/x``, Arrow ``file:///x``."""
+    return re.sub(r"^file:/+", "file:///", path)
+
+
+def _read_back(spark: SparkSession, folder: str, named: DataFrame) -> DataFrame:
+    """The records of the named files. Others, left by attempts that failed, may lie beside them until they are removed."""
+    schema = "layer string, utt_id string, path string, payload string, bin string"
+    df = spark.read.schema(schema).parquet(folder)
+    own = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    return df.withColumn("file", own).join(named.select("file"), "file", "left_semi").drop("file")
+
+
+def _unnamed(spark: SparkSession, fs, folder, named: DataFrame) -> list[str]:
+    """Files of the folder that no task returned: only where there are more files than names are both compared."""
+    n = named.count()
+    listed = [s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".parquet")]
+    if len(listed) == n:
+        return []
+    return [r.file for r in spark.createDataFrame([(x,) for x in listed], "file string").join(named.select("file"), "file", "left_anti").collect()]
 
 
 def consolidated(files: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """`consolidate` into a new folder of the session's shared folder."""
-    return consolidate(files, new_path(files.sparkSession, "consolidated"), target_bytes)
+    """The records of `consolidate` into a new folder of the session's shared folder."""
+    return consolidate(files, new_path(files.sparkSession, "consolidated"), target_bytes)[0]
+
+
+def file_report(files: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
+    """Bin, records and bytes of each file that `consolidate` writes, and its size as a share of the target."""
+    named = consolidate(files, new_path(files.sparkSession, "consolidated"), target_bytes)[1]
+    return named.select("bin", "records", "bytes", (F.col("bytes") / target_bytes).alias("filled"))
 
 
 def bin_report(files: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:

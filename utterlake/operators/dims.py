@@ -24,6 +24,23 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
 
 
+def gathered(key: str, **sources: tuple[DataFrame, list[str]]) -> DataFrame:
+    """(key, a struct per source): the last row of each key in several tables, name=(table, order), null where a table has none.
+
+    All tables meet as one union under one aggregation, combined before the shuffle, so it takes one exchange however many there are and
+    no join. A struct begins with the columns of its order; ties go to the greater values of the rest.
+    """
+    kinds = {n: df.select(F.struct(*order, *[c for c in df.columns if c != key and c not in order]).alias("r")).schema["r"].dataType for n, (df, order) in sources.items()}
+    parts = []
+    for name, (df, order) in sources.items():
+        own = F.struct(*order, *[c for c in df.columns if c != key and c not in order])
+        parts.append(df.where(F.col(key).isNotNull()).select(key, *[(own if n == name else F.lit(None).cast(kinds[n])).alias(n) for n in sources]))
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    return union.groupBy(key).agg(*[F.max(n).alias(n) for n in sources])
+
+
 def join_with_defaults(left: DataFrame, right: DataFrame, keys: list[str], defaults: dict[str, object], blank_is_missing: bool = True) -> DataFrame:
     """Left outer join to a table of one row per key. A miss gives the default; so does an empty text, unless blanks are kept (a null
     is then ''). Adds nothing else, never fans out."""

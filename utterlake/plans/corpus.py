@@ -33,9 +33,14 @@ def p5_bins(spark: SparkSession, root: str) -> DataFrame:
     return compact.bin_report(Catalog(spark, root).tiny_files)
 
 
+def p5_files(spark: SparkSession, root: str) -> DataFrame:
+    """The files as written, with their sizes."""
+    return compact.file_report(Catalog(spark, root).tiny_files)
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     t = Catalog(spark, root)
     return packed.unpack_values(t.bareun_raw, t.search_master)
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_bins": p5_bins, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_bins": p5_bins, "p5_files": p5_files, "p6_found": p6_found}

@@ -72,9 +72,9 @@ def live(df: DataFrame) -> DataFrame:
 def _strata(spark, root):
     """Tokens counted per speaker and session before the dimensions are met, so joins see counts and not tokens."""
     t = Catalog(spark, root)
-    m = tokens.packed_positions(utterances(spark, root), ["utt_id", "speaker_id"])
-    m = m.groupBy("morph", "tag", "speaker_id", tokens.session_of("utt_id").alias("session_id")).agg(F.count("*").alias("n"))
-    m = with_speaker(m.withColumn("year", tokens.year_of("session_id")), t.file_meta).withColumnRenamed("speaker", "id").withColumnRenamed("session_id", "file_id")
+    u = with_speaker(utterances(spark, root).withColumn("session_id", tokens.session_of("utt_id")), t.file_meta, to="id")
+    m = tokens.packed_positions(u, ["session_id", "id"]).groupBy("morph", "tag", "id", F.col("session_id").alias("file_id")).agg(F.count("*").alias("n"))
+    m = m.withColumn("year", tokens.year_of("file_id"))
     spk = dims.last_wins(live(t.speakers_normalized).select("year", "id", "sex_norm", "age_norm", "loaded_at"), ["year", "id"], ["loaded_at", "sex_norm", "age_norm"])
     meta = dims.last_wins(live(t.file_meta).select("file_id", "category", "loaded_at", "doc_id"), ["file_id"], ["loaded_at", "doc_id", "category"]).withColumn("reg", dims.register("category"))
     m = dims.join_with_defaults(m, spk, ["year", "id"], {"sex_norm": dims.UNKNOWN, "age_norm": dims.UNKNOWN})

@@ -19,7 +19,6 @@ from utterlake.sources import textgrid
 META = {c: dims.UNKNOWN for c in ("category_norm", "discourse_mode", "topic", "relation", "date", "in_ml2025_gold")}
 SPEAKER = {c: dims.UNKNOWN for c in ("sex_norm", "age_norm", "occupation_norm", "education_ord", "birthplace_norm", "current_residence_norm")}
 EXTRA = {"original_form": dims.UNKNOWN, "start": "", "end_sec": "", "note": dims.UNKNOWN}
-COVERAGE = {"has_wav": "0", "has_tg_eojeol": "0", "quarantined": ""}
 #: Utterance numbers and microseconds of a session in one block of the session's order.
 BLOCK, BLOCK_US = 512, 600_000_000
 
@@ -32,31 +31,33 @@ def _normalized_form(df: DataFrame) -> DataFrame:
     return df.withColumn("form", nfc(F.regexp_replace(F.coalesce("form", F.lit("")), f"[{INVISIBLE}]+", "")))
 
 
-def _coverage(spark, root) -> DataFrame:
-    """(utt_id, has_wav, has_tg_eojeol, quarantined): what the inventory lists, beside the last word of the search master on the rest."""
-    t = _t(spark, root)
-    noted = dims.last_wins(t.search_master.where("utt_id is not null").select("utt_id", "has_wav", "quarantined", "loaded_at"), ["utt_id"], ["loaded_at", "has_wav", "quarantined"]).drop("loaded_at")
-    listed = coverage.with_presence(noted, "utt_id", grid=_inventory(spark, root).where("ext = 'textgrid'"))
-    return listed.withColumn("has_tg_eojeol", F.when(F.col("grid"), "1").otherwise("0")).drop("grid")
-
-
 def master(spark, root) -> DataFrame:
     """One row per utterance with the metadata of its file and speaker, the extras of its transcript and its coverage; a miss gives
     ``미상`` (times '', flags 0), a blank stays blank.
 
-    The speaker is met by the id that the label stands for. Every dimension is cut to the last live row of a key first, so nothing fans
-    out; the joins are plain equi-joins whose strategy the engine picks by size.
+    What is keyed by utterance meets in one aggregation. The speaker is met by the id that the label stands for. Dimensions are cut to
+    the last live row of a key first, so nothing fans out; the joins are plain equi-joins whose strategy the engine picks by size.
     """
     t = _t(spark, root)
-    u = utterances(spark, root).withColumn("session_id", tokens.session_of("utt_id")).withColumn("utt_seq", tokens.sequence_of("utt_id")).withColumn("year", tokens.year_of("utt_id"))
+    own = t.bareun_raw.select("utt_id", "form", "tagged", "speaker_id", "n_morphs", "loaded_at")
+    u = dims.gathered(
+        "utt_id",
+        own=(own, ["loaded_at", "form", "tagged", "speaker_id", "n_morphs"]),
+        extra=(t.dialogue_json.select("utt_id", *EXTRA, "loaded_at"), ["loaded_at", *EXTRA]),
+        noted=(t.search_master.select("utt_id", "has_wav", "quarantined", "loaded_at"), ["loaded_at", "has_wav", "quarantined"]),
+        grid=(_inventory(spark, root).where("ext = 'textgrid'").select("utt_id", F.lit("1").alias("has_tg_eojeol")), ["has_tg_eojeol"]),
+    ).where("own is not null")
+    fill = lambda source, c, d: F.when(F.col(source).isNull(), d).otherwise(F.coalesce(F.col(f"{source}.{c}"), F.lit(""))).alias(c)
+    u = u.select(
+        "utt_id", "own.form", "own.tagged", "own.speaker_id", "own.n_morphs", tokens.session_of("utt_id").alias("session_id"), tokens.sequence_of("utt_id").alias("utt_seq"), tokens.year_of("utt_id").alias("year"),
+        *[fill("extra", c, d) for c, d in EXTRA.items()], fill("noted", "has_wav", "0"), fill("noted", "quarantined", ""),
+        F.when(F.col("noted").isNotNull() & F.col("grid").isNotNull(), "1").otherwise("0").alias("has_tg_eojeol"),
+    )
     u = with_speaker(u, t.file_meta, to="_who")
     meta = dims.last_wins(live(t.file_meta).select(F.col("file_id").alias("session_id"), *META, "loaded_at", "doc_id"), ["session_id"], ["loaded_at", "doc_id", *META])
     spk = dims.last_wins(live(t.speakers_normalized).select("year", F.col("id").alias("_who"), *SPEAKER, "loaded_at"), ["year", "_who"], ["loaded_at", *SPEAKER])
-    extra = dims.last_wins(t.dialogue_json.where("utt_id is not null").select("utt_id", *EXTRA, "loaded_at"), ["utt_id"], ["loaded_at", *EXTRA])
     m = dims.join_with_defaults(u, meta, ["session_id"], META, blank_is_missing=False)
     m = dims.join_with_defaults(m, spk, ["year", "_who"], SPEAKER, blank_is_missing=False).drop("_who")
-    m = dims.join_with_defaults(m, extra, ["utt_id"], EXTRA, blank_is_missing=False)
-    m = dims.join_with_defaults(m, _coverage(spark, root), ["utt_id"], COVERAGE, blank_is_missing=False)
     return m.withColumn("dur", F.round((micros("end_sec") - micros("start")) / 1e6, 3)).withColumn("n_eojeol", F.size(split_ws("form")).cast("bigint"))
 
 
