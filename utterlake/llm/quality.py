@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -48,8 +49,10 @@ _KINDS = [re.compile(p) for p in ("[가-힣]", "[A-Za-z]", "[぀-ヿ一-鿿À-ɏ
 HANGUL, LATIN, OTHER, DIGIT, JAMO, LATIN1, BROKEN, SYMBOL, BAR, TAB = range(10)
 # sums over the words of a line
 WORDS, LETTERS, TOKENS, STRONG, WEAK, ENGLISH, COMMA_END, COMMA_IN, TAGGED, EQUALS, PAREN, ARROW, HASH, COMMON, GAPS, CHARS = range(16)
-# Sums are fields of this many bits of one integer, so that adding a word or a character is one addition.
-BITS = 40
+# Sums are fields of this many bits of one integer, so that adding a word is one addition. No text has as many characters.
+BITS = 32
+BELOW = BITS * 16
+SUMS = (1 << BELOW) - 1
 
 
 def packed(fields: dict[int, int]) -> int:
@@ -57,7 +60,7 @@ def packed(fields: dict[int, int]) -> int:
 
 
 def unpacked(x: int, n: int) -> list[int]:
-    return [(x >> (BITS * i)) & ((1 << BITS) - 1) for i in range(n)]
+    return list(struct.unpack(f"<{n}I", x.to_bytes(4 * n, "little")))
 
 
 class Kinds(dict):
@@ -68,11 +71,28 @@ class Kinds(dict):
         return x
 
 
+class Words(dict):
+    """Word to its packed sums and, above them, the kinds of its characters; filled as words occur. It is bounded, long words aren't kept."""
+
+    def __init__(self, lex: Lexicon):
+        self.lex = lex
+
+    def __missing__(self, token: str) -> int:
+        lex = self.lex
+        kinds = sum(map(lex.kinds.__getitem__, token)) << BELOW
+        if len(token) > lex.keep:
+            return kinds + packed(long_sums(long_word(token, lex.keep), lex.common))
+        if len(self) >= 200_000:
+            self.clear()
+        self[token] = x = kinds + packed(lex.sums(token))
+        return x
+
+
 class Lexicon:
-    """Word to its packed sums; texts repeat their words, so most are looked up. The cache is bounded and never travels."""
+    """What is known of words: texts repeat them, so most are looked up. The memory never travels."""
 
     def __init__(self, common: frozenset[str]):
-        self.common, self.cache, self.kinds = common, {}, Kinds()
+        self.common, self.cache, self.kinds = common, Words(self), Kinds()
         self.keep = max([KEEP_WORD, *map(len, common)])  # any longer word isn't a common one
 
     def __getstate__(self):
@@ -92,16 +112,16 @@ class Lexicon:
         return joined_long(*(long_word(w, self.keep) if isinstance(w, str) else w for w in (a, b)), self.keep)
 
     def word(self, token: str | list) -> int:
+        """The packed sums of a word."""
         if len(token) > self.keep:
             token = long_word(token, self.keep)
         if isinstance(token, list):
             return packed(long_sums(token, self.common))
-        x = self.cache.get(token)
-        if x is None:
-            if len(self.cache) >= 200_000:
-                self.cache.clear()
-            self.cache[token] = x = packed(self.sums(token))
-        return x
+        return self.cache[token] & SUMS
+
+    def kinds_of(self, token: str) -> int:
+        """The packed kinds of a word's characters."""
+        return sum(map(self.kinds.__getitem__, token)) if len(token) > self.keep else self.cache[token] >> BELOW
 
     def sums(self, token: str) -> dict[int, int]:
         v = {TOKENS: 1}
@@ -192,8 +212,9 @@ class Line:
 
     @classmethod
     def of(cls, text: str, lex: Lexicon) -> Line:
-        kinds = sum(map(lex.kinds.__getitem__, text))
         words = text.split()
+        # of white space, only tabs and no-break spaces have a kind
+        kinds = text.count("\t") * lex.kinds["\t"] + text.count("\xa0") * lex.kinds["\xa0"]
         left, right = text.lstrip(), text.rstrip()
         lead, trail = len(text) - len(left), len(text) - len(right)
         ends = text[: min(lead, KEEP)], left[:KEEP], right[-KEEP:]
@@ -204,9 +225,11 @@ class Line:
             sums += len(re.findall(r"\S {3,}(?=\S)", text)) << (BITS * GAPS)
         head = words.pop(0) if not lead else ""
         if not words and not trail and head:
-            return cls(kinds, sums, lex.unfinished(head), None, 0, 0, *ends)
+            return cls(kinds + lex.kinds_of(head), sums, lex.unfinished(head), None, 0, 0, *ends)
         tail = words.pop() if not trail else ""
-        sums += sum(map(lex.word, words))
+        whole = sum(map(lex.cache.__getitem__, words))
+        sums += whole & SUMS
+        kinds += (whole >> BELOW) + lex.kinds_of(head) + lex.kinds_of(tail)
         return cls(kinds, sums, lex.unfinished(head), lex.unfinished(tail), lead, trail, *ends)
 
     def merge(self, o: Line, lex: Lexicon) -> Line:
@@ -273,8 +296,7 @@ _EDGE_QUOTES = re.compile("^[\"'“”‘’]+")
 LINES, PROSE, SHORT, SHORT_STRONG, PUNCTUATED, N_WORDS, N_LETTERS, N_COMMON, N_INK, N_SYMBOL = range(10)
 
 
-def add_line(total: list[int], line: Line, lex: Lexicon) -> None:
-    kinds, v = line.closed(lex)
+def count_line(total: list[int], kinds: list[int], v: list[int], start: str, end: str) -> None:
     total[N_WORDS] += v[WORDS]
     total[N_LETTERS] += v[LETTERS]
     total[N_COMMON] += v[COMMON]
@@ -283,15 +305,43 @@ def add_line(total: list[int], line: Line, lex: Lexicon) -> None:
     if not v[TOKENS]:
         return
     total[LINES] += 1
-    ended = _SENTENCE_END.search(line.end.rstrip()) is not None
+    ended = _SENTENCE_END.search(end.rstrip()) is not None
     total[PUNCTUATED] += ended
-    kind = line_class(kinds, v, line.start)
+    kind = line_class(kinds, v, start)
     total[PROSE] += kind == "prose"
     if kind == "short":
         total[SHORT] += 1
         total[SHORT_STRONG] += bool(v[STRONG] + v[ENGLISH] or ended)
 
 
+def add_line(total: list[int], line: Line, lex: Lexicon) -> None:
+    count_line(total, *line.closed(lex), line.start, line.end)
+
+
+def add_whole(total: list[int], text: str, lex: Lexicon) -> None:
+    """`add_line` of a whole line."""
+    words = text.split()
+    if not words:
+        total[N_INK] += len(text)
+        return
+    both = sum(map(lex.cache.__getitem__, words))
+    v, kinds = unpacked(both & SUMS, 16), unpacked(both >> BELOW, 10)
+    v[CHARS] = len(text)
+    if "   " in text:
+        v[GAPS] = len(re.findall(r"\S {3,}(?=\S)", text))
+    kinds[TAB] = text.count("\t")
+    kinds[LATIN1] += text.count("\xa0")
+    count_line(total, kinds, v, text.lstrip()[:KEEP], text.rstrip()[-KEEP:])
+
+
+def whole_sums(text: str, lex: Lexicon) -> list[int]:
+    """The sums of a whole text, line by line; `Text` gives the same from chunks."""
+    total = [0] * 10
+    for x in text.split("\n"):
+        add_whole(total, x, lex)
+    return total
+
+
 class Text:
     """A chunk of a text: its first line, the sums over whole lines after it, and its last line (None if it is the first)."""
 
@@ -300,11 +350,11 @@ class Text:
 
     @classmethod
     def of(cls, text: str, lex: Lexicon) -> Text:
-        lines = [Line.of(x, lex) for x in text.split("\n")]
+        lines = text.split("\n")
         total = [0] * 10
         for x in lines[1:-1]:
-            add_line(total, x, lex)
-        return cls(lines[0], total, lines[-1] if len(lines) > 1 else None)
+            add_whole(total, x, lex)
+        return cls(Line.of(lines[0], lex), total, Line.of(lines[-1], lex) if len(lines) > 1 else None)
 
     def merge(self, o: Text, lex: Lexicon) -> Text:
         total = [a + b for a, b in zip(self.total, o.total, strict=True)]
@@ -351,7 +401,7 @@ def _first_pass(lex: Lexicon, chunk: int):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 text = prepared(text or "")
                 if len(text) <= chunk:
-                    rows.append((doc_id, 0, 1, None, *Text.of(text, lex).sums(lex)))
+                    rows.append((doc_id, 0, 1, None, *whole_sums(text, lex)))
                 else:
                     n = -(-len(text) // chunk)
                     rows.extend((doc_id, i, n, text[i * chunk : (i + 1) * chunk], *[None] * 10) for i in range(n))

@@ -66,13 +66,18 @@ def p9_quality(spark: SparkSession, root: str) -> DataFrame:
     return quality.quality(t.documents, t.common_words)
 
 
+def p9_stats(spark: SparkSession, root: str) -> DataFrame:
+    """The statistics of `p9_quality` that hang on no judgement of lines."""
+    return p9_quality(spark, root).select("doc_id", "words", "mean_word_length", "symbol_ratio", "punctuated_share", "common_share")
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return p9_quality(spark, root).where("not is_prose").select("doc_id").distinct()
 
 
 QUERIES = {
     "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_turns": p3_turns, "p7_found": p7_found, "p7_near": p7_near, "p7_items": p7_items,
-    "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_quality": p9_quality,
+    "p8_found": p8_found, "p8_shares": p8_shares, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_quality": p9_quality, "p9_stats": p9_stats,
 }
 
 

@@ -7,9 +7,10 @@ bounded size, and over one summary row per block; so a session that holds a thir
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -241,33 +242,61 @@ def infer_labels(utts: DataFrame, turns: DataFrame, words: DataFrame, file_meta:
     )
     decode_in = stored(decode_in, "runs")  # read for the scores of pieces and again to decode them
     key = ["session_id", "turn_no", "tblock", "piece"]
-    at = lambda s, people_: people_.index(s) if s in people_ else -1
-
-    def summed_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        r = pdf.iloc[0]
-        people_ = list(r["people"])
-        scores = best_scores(np.array(pdf["ll"].tolist(), dtype=float), r["stay"])
-        return pd.DataFrame({**{c: [r[c]] for c in key}, "states_before": [at(r["before"], people_)], "states_after": [at(r["after"], people_)], "stay": [r["stay"]], "scores": [scores.ravel().tolist()]})
-
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tblock", "piece"])
-        k = math.isqrt(len(pdf["scores"].iloc[0]))
-        found = piece_ends([np.array(x).reshape(k, k) for x in pdf["scores"]], int(pdf["states_before"].iloc[0]), int(pdf["states_after"].iloc[-1]), pdf["stay"].iloc[0])
-        return pd.DataFrame({**{c: pdf[c] for c in key}, "first_state": [x for x, _ in found], "last_state": [x for _, x in found]})
-
-    def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        r = pdf.iloc[0]
-        people_ = list(r["people"])
-        path = viterbi(np.array(pdf["ll"].tolist(), dtype=float), at(r["before"], people_), at(r["after"], people_), r["stay"], int(r["first_state"]), int(r["last_state"]))
-        return pd.DataFrame({"session_id": pdf["session_id"], "turn_no": pdf["turn_no"], "utt_id": pdf["utt_id"], "likely_speaker": [people_[i] for i in path]})
-
     names = "session_id string, turn_no int, tblock bigint, piece bigint"
-    scores = decode_in.where("not whole").groupBy(*key).applyInPandas(summed_up, f"{names}, states_before int, states_after int, stay double, scores array<double>")
-    ends = scores.groupBy("session_id", "turn_no").applyInPandas(joined, f"{names}, first_state int, last_state int")
+    scores = in_groups(decode_in.where("not whole"), key, ["rank"], _summed_up, f"{names}, states_before int, states_after int, stay double, scores array<double>")
+    ends = in_groups(scores, key[:2], ["tblock", "piece"], _joined, f"{names}, first_state int, last_state int")
     fixed = decode_in.join(ends, key, "left").fillna(-1, ["first_state", "last_state"])
-    return fixed.groupBy(*key).applyInPandas(decode, "session_id string, turn_no int, utt_id string, likely_speaker string")
+    return in_groups(fixed, key, ["rank"], _decoded, "session_id string, turn_no int, utt_id string, likely_speaker string")
+
+
+def in_groups(df: DataFrame, key: list[str], order: list[str], of_group: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
+    """``of_group`` over the rows of each group, in order. Rows come sorted and are cut where the key changes, so a batch holds many groups
+    and a group costs no call of its own; what is held is one group, which is bounded here (a piece, or the pieces of a run)."""
+    columns = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = pa.schema([(f.split()[0], _ARROW[f.split()[1]]) for f in schema.split(", ")])
+        group: list[dict] = []
+        for b in batches:
+            out: list[dict] = []
+            for row in b.to_pylist():
+                if group and any(row[k] != group[0][k] for k in key):
+                    out += of_group(group)
+                    group = []
+                group.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], target.field(c).type) for c in columns], schema=target)
+        if group:
+            out = of_group(group)
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], target.field(c).type) for c in columns], schema=target)
+
+    return df.repartition(*[F.col(k) for k in key]).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+_PIECE_KEY = ("session_id", "turn_no", "tblock", "piece")
+
+
+def _state(name: str | None, people: list[str]) -> int:
+    return people.index(name) if name in people else -1
+
+
+def _summed_up(rows: list[dict]) -> list[dict]:
+    r = rows[0]
+    scores = best_scores(np.array([x["ll"] for x in rows], dtype=float), r["stay"])
+    return [{**{c: r[c] for c in _PIECE_KEY}, "states_before": _state(r["before"], r["people"]), "states_after": _state(rows[0]["after"], r["people"]), "stay": r["stay"], "scores": scores.ravel().tolist()}]
+
+
+def _joined(rows: list[dict]) -> list[dict]:
+    k = math.isqrt(len(rows[0]["scores"]))
+    found = piece_ends([np.array(x["scores"]).reshape(k, k) for x in rows], rows[0]["states_before"], rows[-1]["states_after"], rows[0]["stay"])
+    return [{**{c: x[c] for c in _PIECE_KEY}, "first_state": a, "last_state": b} for x, (a, b) in zip(rows, found, strict=True)]
+
+
+def _decoded(rows: list[dict]) -> list[dict]:
+    r = rows[0]
+    path = viterbi(np.array([x["ll"] for x in rows], dtype=float), _state(r["before"], r["people"]), _state(r["after"], r["people"]), r["stay"], r["first_state"], r["last_state"])
+    return [{"session_id": x["session_id"], "turn_no": x["turn_no"], "utt_id": x["utt_id"], "likely_speaker": r["people"][i]} for x, i in zip(rows, path, strict=True)]
 
 
 def _read(search_master: DataFrame, dialogue_json: DataFrame, file_meta: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
