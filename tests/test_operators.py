@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from utterlake.functions.speakers import clean_label, label_number, micros, resolve_label
 from utterlake.operators import coverage, dims, evaluate, freq, intervals, search, sense, tokens
-from utterlake.sources import corpus, textgrid
+from utterlake.sources import audio, corpus, textgrid
 from utterlake.streaming import refresh
 
 
@@ -161,7 +161,7 @@ def test_audio_inventory(spark, tmp_path):
     inv = corpus.file_inventory(spark, f"file://{tmp_path}", "*.wav")
     assert sorted((r.stem, r[1]) for r in inv.select("stem", corpus.is_broken_wav(F.col("length"))).collect()) == [("a", False), ("b", True)]
     raw = spark.read.format("binaryFile").load(f"file://{tmp_path}/*.wav").orderBy("path")
-    assert [r[0] for r in raw.select(corpus.wav_seconds(F.col("content"))).collect()] == [0.5, None]
+    assert [r[0] for r in raw.select(audio.wav_seconds("content")).collect()] == [0.5, None]
     assert raw.select(coverage.length_class(corpus.pcm_seconds(F.col("length")))).first()[0] == "normal"
 
 

@@ -89,14 +89,15 @@ def mirror_tokens(words: DataFrame, values: DataFrame, key: str, value: str, del
     words: key, idx, xmin, xmax, text; values: key, value, dur. Result: key, xmin, xmax, text, warned.
     """
     content = (~F.coalesce("text", F.lit("")).isin(SILENCE)).cast("int")
-    rank = F.sum("_sound").over(Window.partitionBy(key).orderBy("idx"))
-    w = words.select(key, "idx", "xmin", "xmax", content.alias("_sound")).withColumn("_rank", rank)
-    n = words.groupBy(key).agg(F.sum(content).alias("_n"))
-    v = values.select(key, value, "dur").withColumn("_t", split_tokens(F.col(value), delimiter)).join(n, key).withColumn("_fits", F.size("_t") == F.col("_n"))
+    inside = Window.partitionBy(key).orderBy("idx")
+    w = words.select(key, "idx", "xmin", "xmax", content.alias("_sound")).withColumn("_rank", F.sum("_sound").over(inside)).withColumn("_row", F.row_number().over(inside))
+    w = w.withColumn("_n", F.sum("_sound").over(Window.partitionBy(key)))
+    j = w.join(values.select(key, value, "dur").withColumn("_t", split_tokens(F.col(value), delimiter)), key)
     text = F.when(F.col("_sound") == 1, F.get("_t", (F.col("_rank") - 1).cast("int"))).otherwise("")
-    mirrored = w.join(v.where("_fits"), key).select(key, "xmin", "xmax", text.alias("text"), F.lit(False).alias("warned"))
-    single = v.where("not _fits").select(key, F.lit(0.0).alias("xmin"), F.col("dur").alias("xmax"), F.concat(F.lit(mark), F.col(value)).alias("text"), F.lit(True).alias("warned"))
-    return mirrored.unionByName(single)
+    row = lambda a, b, t, warned: F.struct(a.alias("xmin"), b.alias("xmax"), t.alias("text"), F.lit(warned).alias("warned"))
+    # where the tokens don't fit, the first word alone gives a row
+    one = F.when(F.size("_t") == F.col("_n"), row(F.col("xmin"), F.col("xmax"), text, False)).when(F.col("_row") == 1, row(F.lit(0.0), F.col("dur"), F.concat(F.lit(mark), F.col(value)), True))
+    return j.select(key, one.alias("_r")).where("_r is not null").select(key, "_r.*")
 
 
 def with_pause(words: DataFrame, keys: list[str], begin: str = "xmin", end: str = "xmax", pitch: tuple[str, str] | None = None, block: Column | None = None) -> DataFrame:

@@ -132,11 +132,17 @@ def _last_coda(c: str) -> str:
 
 _UNIT = f"""CASE WHEN regexp_full_match(morph, '[가-힣]+') THEN {_roman_word('morph')} WHEN morph <> '' THEN morph ELSE value END || CASE WHEN tag <> '' THEN '/' || tag ELSE '' END"""
 
-#: Interval rows of the textgrids: each text is cut at the names of its tiers.
-_GRID = r"""WITH gf AS (SELECT path, string_split_regex(content, '(?m)^\s*name\s*=\s*') AS parts FROM tiny_files WHERE lower(path) LIKE '%.textgrid' AND content IS NOT NULL),
-gt AS (SELECT path, unnest(parts[2:]) AS part FROM gf), gn AS (SELECT path, replace(regexp_extract(part, '^"((?:[^"]|"")*)"', 1), '""', '"') AS tier, part FROM gt),
-gc AS (SELECT path, tier, unnest(regexp_extract_all(part, 'intervals\s*\[\d+\]:?\s*xmin\s*=\s*[-\d.eE]+\s*xmax\s*=\s*[-\d.eE]+\s*text\s*=\s*"(?:[^"]|"")*"')) AS cell FROM gn),
-grid AS (SELECT path, tier, regexp_extract(cell, '^intervals\s*\[(\d+)\]', 1)::INT AS idx, regexp_extract(cell, 'xmin\s*=\s*([-\d.eE]+)', 1)::DOUBLE AS xmin, regexp_extract(cell, 'xmax\s*=\s*([-\d.eE]+)', 1)::DOUBLE AS xmax, replace(regexp_extract(cell, '(?s)text\s*=\s*"(.*)"$', 1), '""', '"') AS text FROM gc)"""
+def grid_rows(source: str, key: str) -> str:
+    """CTEs that end in ``grid`` (key, tier, idx, xmin, xmax, text): each textgrid (key, content) is cut at the names of its tiers."""
+    number = r"[-\d.eE]+"
+    cell = rf'intervals\s*\[\d+\]:?\s*xmin\s*=\s*{number}\s*xmax\s*=\s*{number}\s*text\s*=\s*"(?:[^"]|"")*"'
+    return rf"""gf AS (SELECT {key}, string_split_regex(content, '(?m)^\s*name\s*=\s*') AS parts FROM {source}),
+gt AS (SELECT {key}, unnest(parts[2:]) AS part FROM gf), gn AS (SELECT {key}, replace(regexp_extract(part, '^"((?:[^"]|"")*)"', 1), '""', '"') AS tier, part FROM gt),
+gc AS (SELECT {key}, tier, unnest(regexp_extract_all(part, '{cell}')) AS cell FROM gn),
+grid AS (SELECT {key}, tier, regexp_extract(cell, '^intervals\s*\[(\d+)\]', 1)::INT AS idx, regexp_extract(cell, 'xmin\s*=\s*({number})', 1)::DOUBLE AS xmin, regexp_extract(cell, 'xmax\s*=\s*({number})', 1)::DOUBLE AS xmax, replace(regexp_extract(cell, '(?s)text\s*=\s*"(.*)"$', 1), '""', '"') AS text FROM gc)"""
+
+
+_GRID = f"WITH g0 AS (SELECT path, content FROM tiny_files WHERE lower(path) LIKE '%.textgrid' AND content IS NOT NULL), {grid_rows('g0', 'path')}"
 
 SQL = {
     "master": f"WITH {_MASTER} SELECT * FROM mst",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from utterlake.plans import corpus, corpus_sql, frequency, frequency_sql, layers, layers_sql
+from utterlake.plans import corpus, corpus_sql, frequency, frequency_sql, layers, layers_sql, tiers, tiers_sql
 
-MODULES = [corpus, frequency, layers]
-SQL_MODULES = [corpus_sql, frequency_sql, layers_sql]
+MODULES = [corpus, frequency, layers, tiers]
+SQL_MODULES = [corpus_sql, frequency_sql, layers_sql, tiers_sql]
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:

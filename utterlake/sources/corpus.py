@@ -80,9 +80,3 @@ def pcm_seconds(length: Column, rate: int = 16_000, width: int = 2) -> Column:
 def is_broken_wav(length: Column) -> Column:
     """Shorter than a WAV header."""
     return length < 44
-
-
-def wav_seconds(content: Column) -> Column:
-    """Length of a plain PCM WAV from its header: data bytes over byte rate."""
-    le = lambda at: F.conv(F.hex(F.reverse(F.substring(content, at, 4))), 16, 10).cast("double")
-    return F.when(F.length(content) >= 44, F.try_divide(le(41), le(29)))

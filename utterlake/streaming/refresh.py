@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def refresh(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, fmt: str = "parquet") -> int:
-    """Process all files of ``source`` that no earlier call has seen and write the result under ``sink``; returns the number of batches.
+def refresh(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, fmt: str = "parquet", glob: str | None = None) -> int:
+    """Process all files of ``source`` (whose names match ``glob``) that no earlier call has seen and write the result under ``sink``; returns the number of batches.
 
     The checkpoint remembers the files. A batch owns one folder of the sink and overwrites it when it runs again, so a job that was
     killed leaves nothing doubled. What isn't finished stays invisible.
@@ -20,7 +20,8 @@ def refresh(spark: SparkSession, source: str, schema: str, transform: Callable[[
         transform(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
         done.append(number)
 
-    stream = spark.readStream.schema(schema).format(fmt).load(source)
+    reader = spark.readStream.schema(schema).format(fmt)
+    stream = (reader.option("pathGlobFilter", glob) if glob else reader).load(source)
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return len(done)
 
