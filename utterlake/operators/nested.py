@@ -45,11 +45,13 @@ def newest_readable(deliveries: DataFrame, key: str = "file_id", at: str = "rece
     many times costs no more than another. Ties go to the greater hash of the body; rows without key or body, and files without a
     readable delivery, give nothing. A null received_at counts as oldest.
     """
+    # what parses and begins with a brace is an object: neither a pattern nor a schema has to be found in the whole text
+    text = F.ltrim(F.col(body), F.lit("\ufeff \t\n\r"))
     parsed = (
-        deliveries.select(key, at, body)
-        .where(F.col(key).isNotNull() & F.col(body).isNotNull())
-        .select(key, at, F.xxhash64(body).alias("h"), F.try_parse_json(F.regexp_replace(body, r"^[\x{FEFF}\s]+", "")).alias("doc"))
-        .where(F.schema_of_variant("doc").startswith("OBJECT"))
+        deliveries.select(key, at, F.xxhash64(body).alias("h"), text.alias("text"))
+        .where(F.col(key).isNotNull() & F.col("text").startswith("{"))
+        .select(key, at, "h", F.try_parse_json("text").alias("doc"))
+        .where("doc is not null")
     )
     rank = F.struct(F.coalesce(F.col(at).cast("timestamp"), F.lit("0001-01-01").cast("timestamp")), F.col("h"))
     return parsed.groupBy(key).agg(F.max_by("doc", rank).alias("doc"))
